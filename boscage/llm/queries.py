@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boscage.llm import quality
+from boscage.llm import quality, substring_dedup
 from boscage.llm.common import documents
 
 QUERIES: dict = {}
@@ -48,3 +48,22 @@ def op10_quality_rules(spark, sf_dir):
     rows = quality.apply_policy(quality.ledger(documents(spark, sf_dir)), "web", 1)
     base = F.col("failed_bits").bitwiseAND(F.lit(quality.policy_mask("base", 1))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+
+
+@query(
+    "op2_substring_dedup",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS k FROM documents),
+win AS (SELECT k, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+hot AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n >= 2),
+pos AS (SELECT k, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+seen AS (SELECT k, p, word, max(i) OVER (PARTITION BY k ORDER BY p ROWS UNBOUNDED PRECEDING) AS last
+         FROM pos LEFT JOIN (SELECT k AS hk, i FROM hot) ON hk = k AND i = p),
+agg AS (SELECT k, count(*) FILTER (last IS NOT NULL AND p - last < 35)::BIGINT AS n_removed,
+               string_agg(word, ' ' ORDER BY p) FILTER (last IS NULL OR p - last >= 35) AS kept_text FROM seen GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM d LEFT JOIN agg USING (k)""",
+)
+def op2_substring_dedup(spark, sf_dir):
+    rows = substring_dedup.substring_dedup(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
