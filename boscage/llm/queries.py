@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boscage.llm import quality, substring_dedup
+from boscage.llm import mixing, pii, quality, substring_dedup
 from boscage.llm.common import documents
 
 QUERIES: dict = {}
@@ -67,3 +67,17 @@ FROM d LEFT JOIN agg USING (k)""",
 def op2_substring_dedup(spark, sf_dir):
     rows = substring_dedup.substring_dedup(documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op8_mixing")
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Pseudonyms of these queries are made with a key of their own; users pass theirs.
+QUERY_KEY = "boscage query key"
+
+
+@query("op9_pii")
+def op9_pii(spark, sf_dir):
+    return pii.pseudonymize(documents(spark, sf_dir), QUERY_KEY)
