@@ -64,3 +64,20 @@ def bounded(n: int, low: int, high: int) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def slices(batches, text: int, most: int = 2_000_000):
+    """Arrow batches again, of about so many bytes of the text column each: what is computed from one fits in memory."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield b.slice(at, to - at)
+            at = to

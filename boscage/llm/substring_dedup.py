@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boscage.llm.common import bounded
+from boscage.llm.common import bounded, slices
 
 WINDOW = 35
 #: Bytes of text a bucket's windows, or a chunk's documents, should come from.
-BUCKET_BYTES, CHUNK_BYTES = 12_000_000, 12_000_000
+BUCKET_BYTES, CHUNK_BYTES = 12_000_000, 4_000_000
 #: Neighbouring ids that go to the same chunk.
 RUN = 256
 
@@ -119,17 +119,8 @@ def _pieces(n_buckets: int, window: int):
         )
 
     def run(batches):
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= 6_000_000:
-                t = pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
-                yield from emit(t["chunk"].to_numpy(), t["text"].combine_chunks())
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield from emit(t["chunk"].to_numpy(), t["text"].combine_chunks())
+        for b in slices(batches, 1, 3_000_000):
+            yield from emit(b.column(0).to_numpy(), b.column(1))
 
     return run
 
