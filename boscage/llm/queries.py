@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boscage.llm import mixing, pii, quality, substring_dedup
+from boscage.llm import mixing, packing, pii, quality, substring_dedup
 from boscage.llm.common import documents
 
 QUERIES: dict = {}
@@ -81,3 +81,15 @@ QUERY_KEY = "boscage query key"
 @query("op9_pii")
 def op9_pii(spark, sf_dir):
     return pii.pseudonymize(documents(spark, sf_dir), QUERY_KEY)
+
+
+def _tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    rows = packing.pack(documents(spark, sf_dir), _tokenizer())
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
