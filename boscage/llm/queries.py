@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boscage.llm import mixing, packing, pii, quality, substring_dedup
+from boscage.llm import media, mixing, packing, pii, quality, substring_dedup
 from boscage.llm.common import documents
 
 QUERIES: dict = {}
@@ -93,3 +93,18 @@ def _tokenizer(name: str = "word_bpe_49k.json") -> str:
 def op3_packing(spark, sf_dir):
     rows = packing.pack(documents(spark, sf_dir), _tokenizer())
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op6_media_columns")
+def op6_media_columns(spark, sf_dir):
+    rows = media.features(media.encode_texts(documents(spark, sf_dir)))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "ahash", "dhash").alias("feature"),
+    )
