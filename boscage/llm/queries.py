@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boscage.llm import media, mixing, packing, pii, quality, substring_dedup
+from boscage.llm import media, mixing, packing, pii, quality, secrets, substring_dedup
 from boscage.llm.common import documents
 
 QUERIES: dict = {}
@@ -108,3 +108,10 @@ def op6_media_columns(spark, sf_dir):
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", F.concat_ws("x", "width", "height"), "ahash", "dhash").alias("feature"),
     )
+
+
+@query("op1_secret_scans")
+def op1_secret_scans(spark, sf_dir):
+    rows = secrets.scan(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return rows.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
