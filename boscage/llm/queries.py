@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boscage.llm import media, mixing, packing, pii, quality, secrets, substring_dedup
+from boscage.llm import media, mixing, packing, pii, quality, secrets, substring_dedup, toxicity
 from boscage.llm.common import documents
 
 QUERIES: dict = {}
@@ -115,3 +115,11 @@ def op1_secret_scans(spark, sf_dir):
     rows = secrets.scan(documents(spark, sf_dir))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return rows.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % toxicity.FOLDS == toxicity.HELD_OUT_FOLD
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
