@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import bisect
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boscage.llm.common import materialize
+from boscage.llm.common import materialize, slices
 
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
 #: Tasks whose leftovers one task merges.
@@ -41,6 +42,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        #: Ids that end a pre-token.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self):
@@ -49,36 +54,48 @@ class WordTokenizer:
         self.n_flat = 0
 
     def _learn(self, words: list[str]):
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids = e.ids
-            k = len(self.code)
-            while self.n_flat + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            while k + 2 > len(self.at):
-                self.at = np.concatenate((self.at, np.zeros_like(self.at)))
-            self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-            self.n_flat += len(ids)
-            self.code[w] = k
-            self.at[k + 1] = self.n_flat
-
-    def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = _SPLIT.findall(text.lower())
-        try:
-            codes = np.array([self.code[w] for w in words], np.int64)
-        except KeyError:
-            new = list(dict.fromkeys(w for w in words if w not in self.code))
-            if len(self.code) + len(new) > CACHE_WORDS:
-                self._clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-            codes = np.array([self.code[w] for w in words], np.int64)
-        if not len(codes):
-            return np.zeros(0, np.uint32)
+        """Ids of new pre-tokens, encoded together: separated by blanks they stay what they are."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(words):
+            parts = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+            ids, stop = np.array([i for p in parts for i in p], np.uint32), np.cumsum([len(p) for p in parts])
+        k = len(self.code)
+        while self.n_flat + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while k + len(words) + 1 > len(self.at):
+            self.at = np.concatenate((self.at, np.zeros_like(self.at)))
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.at[k + 1 : k + 1 + len(words)] = self.n_flat + stop
+        self.n_flat += len(ids)
+        self.code.update(zip(words, range(k, k + len(words))))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        plain, split = [], []
+        for i, text in enumerate(texts):
+            if _PLAIN.fullmatch(text):
+                plain.append(i)
+                split.append(_SPLIT.findall(text.lower()))
+            else:
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        known = self.code.keys()
+        new = set().union(*split) - known
+        if len(known) + len(new) > CACHE_WORDS:
+            self._clear()
+            new = set().union(*split)
+        new = list(new)
+        for at in range(0, len(new), 4096):
+            self._learn(new[at : at + 4096])
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         start, size = self.at[codes], self.at[codes + 1] - self.at[codes]
         end = np.cumsum(size)
-        return self.flat[np.arange(end[-1]) + np.repeat(start - end + size, size)]
+        ids = self.flat[np.arange(end[-1]) + np.repeat(start - end + size, size)] if len(codes) else np.zeros(0, np.uint32)
+        words = np.cumsum([0] + [len(w) for w in split])
+        bounds = np.concatenate(([0], end))[words]
+        for i, a, b in zip(plain, bounds[:-1], bounds[1:]):
+            out[i] = ids[a:b]
+        return out
 
 
 class OpenWindows:
@@ -90,6 +107,9 @@ class OpenWindows:
     def place(self, length: int) -> tuple[int, int, int | None]:
         """Number and offset of the window for a piece, and the number of the window emitted for it."""
         closed = None
+        if length >= self.window:  # needs no room beside others
+            self.n += 1
+            return self.n - 1, 0, self.n - 1
         at = bisect.bisect_right(self.open, (self.window - length, 1 << 62)) - 1
         if at >= 0:
             used, number = self.open.pop(at)
@@ -126,10 +146,10 @@ def _pack(path: str, window: int, most: int, end_id: int, id_type: str):
         # Pieces wait until their window is emitted: then it is known whether it is left over.
         waiting: dict[int, list] = {}
         size = 0
-        for b in batches:
+        for b in slices(batches, 1, 1_000_000):
             kind = b.schema.field(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(tok.encode(text or ""), np.uint32(end_id))
+            for key, ids in zip(b.column(0).to_pylist(), tok.encode_all([t or "" for t in b.column(1).to_pylist()])):
+                ids = np.append(ids, np.uint32(end_id))
                 n = len(ids)
                 for at in range(0, n, window):
                     part = ids[at : at + window]
