@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boscage.llm import media, mixing, packing, pii, quality, secrets, substring_dedup, toxicity
+from boscage.llm import jaccard, media, mixing, packing, pii, quality, secrets, substring_dedup, toxicity
 from boscage.llm.common import documents
 
 QUERIES: dict = {}
@@ -123,3 +123,22 @@ def op7_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % toxicity.FOLDS == toxicity.HELD_OUT_FOLD
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query(
+    "op4_ngram_jaccard_join",
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT w, min(doc_id) AS copy_of, count(*) AS n_copies FROM d GROUP BY w),
+g AS (SELECT DISTINCT copy_of AS k, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT copy_of, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM c WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.k <> b.k GROUP BY a.k, b.k),
+l AS (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, least(a, min(b)) AS class_id FROM r GROUP BY a),
+q AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, coalesce(class_id, copy_of) AS class_id, copy_of, n_copies::BIGINT AS n_copies, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d JOIN c USING (w) LEFT JOIN m ON m.a = copy_of LEFT JOIN q ON q.a = copy_of""",
+)
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(documents(spark, sf_dir))
