@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boscage.llm import jaccard, media, mixing, packing, pii, quality, secrets, substring_dedup, toxicity
+from boscage.llm import jaccard, line_dedup, media, mixing, packing, pii, quality, secrets, substring_dedup, toxicity
 from boscage.llm.common import documents
 
 QUERIES: dict = {}
@@ -142,3 +142,9 @@ FROM d JOIN c USING (w) LEFT JOIN m ON m.a = copy_of LEFT JOIN q ON q.a = copy_o
 )
 def op4_ngram_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark, sf_dir):
+    rows = line_dedup.line_dedup(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "removed")
