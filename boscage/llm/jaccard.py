@@ -108,7 +108,7 @@ def _sign(gram: int, tries: int, d: int, id_type):
                     for i, p, s in zip(some[start : start + 4096], prefix.tolist(), sketch):
                         prefixes[i], sketches[i] = p, s.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys[0]), pa.array(keys[1]), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "k1", "k2", "prefixes", "sketch"]
+                [b.column(0), pa.array(keys[0]), pa.array(keys[1]), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), b.column(2)], names=["doc_id", "k1", "k2", "prefixes", "sketch", "text_hash"]
             )
 
     return run
@@ -240,12 +240,12 @@ def _confirmed(gram: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (least id of the linked group), copy_of (least id with equal words), n_copies, n_links (other word sequences at the threshold or above), a row for each input row."""
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """near_duplicates() with two columns more: text_hash, and group, which names a linked group whatever its ids."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     d = depth(threshold, TRIES, DEPTH, recall)
-    signed = materialize(rows.mapInArrow(_sign(gram, TRIES, d, id_type), f"doc_id {id_type}, k1 long, k2 long, prefixes array<long>, sketch binary"), "signed")
+    signed = materialize(rows.mapInArrow(_sign(gram, TRIES, d, id_type), f"doc_id {id_type}, k1 long, k2 long, prefixes array<long>, sketch binary, text_hash long"), "signed")
     # One row for each word sequence. The first hash names it from here on.
     classes = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumnRenamed("k1", "node"), "classes")
@@ -270,7 +270,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(verified.select(F.col("node").alias("a"), F.col("to").alias("b")))
     # Names of groups: the least id of their classes.
     named = groups.join(classes.select("node", "copy_of"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("copy_of").alias("class_id")), "root").join(links, "node").select("node", "class_id", "n_links")
+    named = named.join(named.groupBy("root").agg(F.min("copy_of").alias("class_id")), "root").join(links, "node").select("node", "root", "class_id", "n_links")
     told = classes.select("node", "k2", "copy_of", "n_copies").join(named, "node", "left")
-    told = told.select(F.col("node").alias("k1"), "k2", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+    told = told.select(F.col("node").alias("k1"), "k2", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "node").alias("group"))
+    return signed.select("doc_id", "k1", "k2", "text_hash").join(told, ["k1", "k2"]).select("doc_id", "class_id", "copy_of", "n_copies", "n_links", "text_hash", "group")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (least id of the linked group), copy_of (least id with equal words), n_copies, n_links (other word sequences at the threshold or above), a row for each input row."""
+    return _grouped(docs, id_col, text_col, gram, threshold, recall).select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each linked group the row with the least id stays, once."""
+    first = _grouped(docs, id_col, text_col, **how).groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select(F.col("f.doc_id").alias("_keep_id"), F.col("f.text_hash").alias("_keep_hash")).distinct()
+    rows = docs.withColumn("_text_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_hash"])
+    return rows.join(first, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_text_hash") == F.col("_keep_hash")), "left_semi").select(*docs.columns)

@@ -140,7 +140,7 @@ def features(texts: pa.Array, kinds: Kinds) -> np.ndarray:
 class Trees:
     """Gradient boosting of the logistic loss with small histogram trees."""
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48, l2: float = 1.0, least: float = 4.0):
+    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48, l2: float = 1.0, least: float = 0.4):
         self.rounds, self.depth, self.rate, self.bins, self.l2, self.least = rounds, depth, rate, bins, l2, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
@@ -286,3 +286,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(features(b.column(1), kinds)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, that score under the threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        kinds = Kinds(model.words, model.begins)
+        for b in slices(batches, at):
+            yield b.filter(pa.array(model.score(features(b.column(at), kinds)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
