@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
+import types
 from itertools import chain
 
 import numpy as np
@@ -26,8 +28,8 @@ from boscage.llm.common import materialize, slices
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
 #: Tasks whose leftovers one task merges.
 MERGE_TASKS = 256
-#: Distinct pre-tokens kept by a task; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Distinct pre-tokens kept by a Python worker; beyond it the cache starts anew.
+CACHE_WORDS = 800_000
 
 #: Texts of these characters alone are split here; all others go to the tokenizer whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
@@ -35,6 +37,19 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\s\xa0\x85a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
+class Codes(dict):
+    """Codes of pre-tokens in order of their first use; new ones are noted until their ids are learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
 class WordTokenizer:
     """Token ids of whole texts, with the ids of repeated pre-tokens looked up: pre-tokens are independent in this vocabulary."""
 
@@ -49,18 +64,26 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self):
-        self.code: dict[str, int] = {}
+        self.code, self.n_known = Codes(), 0
         self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.n_flat = 0
 
+    @classmethod
+    def shared(cls, path: str) -> WordTokenizer:
+        """This worker's tokenizer: what one task has learned serves the next."""
+        home = sys.modules.setdefault("_boscage_tokenizers", types.ModuleType("_boscage_tokenizers")).__dict__
+        if path not in home:
+            home[path] = cls(path)
+        return home[path]
+
     def _learn(self, words: list[str]):
-        """Ids of new pre-tokens, encoded together: separated by blanks they stay what they are."""
+        """Ids of new pre-tokens, in order of their codes, encoded together: separated by blanks they stay what they are."""
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
         stop = np.flatnonzero(self.ends[ids]) + 1
         if len(stop) != len(words):
             parts = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
             ids, stop = np.array([i for p in parts for i in p], np.uint32), np.cumsum([len(p) for p in parts])
-        k = len(self.code)
+        k = self.n_known
         while self.n_flat + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while k + len(words) + 1 > len(self.at):
@@ -68,7 +91,7 @@ class WordTokenizer:
         self.flat[self.n_flat : self.n_flat + len(ids)] = ids
         self.at[k + 1 : k + 1 + len(words)] = self.n_flat + stop
         self.n_flat += len(ids)
-        self.code.update(zip(words, range(k, k + len(words))))
+        self.n_known += len(words)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -79,15 +102,12 @@ class WordTokenizer:
                 split.append(_SPLIT.findall(text.lower()))
             else:
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        known = self.code.keys()
-        new = set().union(*split) - known
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(self.code) > CACHE_WORDS:
             self._clear()
-            new = set().union(*split)
-        new = list(new)
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        new, self.code.new = self.code.new, []
         for at in range(0, len(new), 4096):
             self._learn(new[at : at + 4096])
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         start, size = self.at[codes], self.at[codes + 1] - self.at[codes]
         end = np.cumsum(size)
         ids = self.flat[np.arange(end[-1]) + np.repeat(start - end + size, size)] if len(codes) else np.zeros(0, np.uint32)
@@ -133,7 +153,7 @@ def _pack(path: str, window: int, most: int, end_id: int, id_type: str):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        tok, bins = WordTokenizer(path), OpenWindows(window, most)
+        tok, bins = WordTokenizer.shared(path), OpenWindows(window, most)
         rows: list[tuple] = []
         kind = None
 
