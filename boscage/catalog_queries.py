@@ -1,11 +1,19 @@
-"""Queries over catalogs derived from the Parquet tables, with their SQL oracles."""
+"""Queries over catalogs derived from the Parquet tables, with their SQL oracles (DuckDB)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from boscage.functions import names, paths, scalars
+from boscage.operators import big, diff, dupes, excludes, junk, junk_rules, tree
+from boscage.plans import actions, guardrails
+from boscage.sources import derived
+from boscage.sources.schema import complete, directories_of
+from boscage.sources.shared import materialize
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+HOME = "/Users/me"
 
 
 def query(name: str, sql: str | None = None):
@@ -20,15 +28,574 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Catalogs in SQL ------------------------------------------------------------------------------------------------------
+
+_DOCS = """docs AS (
+  SELECT '/docs/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, '/docs/' || source || '/' || lang AS parent_path, doc_id || '.txt' AS name,
+         strlen(text)::BIGINT AS own_size, (ceil(strlen(text) / 4096.0) * 4096)::BIGINT AS own_alloc, 1704067200 + doc_id * 60 AS mtime, doc_id + 1000 AS inode,
+         CASE WHEN doc_id % 7 = 0 THEN doc_id // 14 ELSE doc_id + 1000 END AS clone_id, doc_id % 7 = 0 AS maybe_shared, text, doc_id, source, lang FROM documents)"""
+_EXTRA = """extra AS (
+  SELECT *, maybe_shared AND row_number() OVER (PARTITION BY maybe_shared, clone_id ORDER BY string_split(path, '/')) > 1 AS shared_extra FROM docs)"""
+_SALES = """lines AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS BIGINT) AS own_size, max(epoch(l_shipdate))::BIGINT AS mtime FROM lineitem GROUP BY 1, 2),
+sales AS (SELECT '/sales/' || r_name || '/' || n_name || '/' || c_custkey || '/' || l_orderkey || '/' || l_linenumber AS path, ['sales', r_name, n_name, c_custkey::VARCHAR, l_orderkey::VARCHAR, l_linenumber::VARCHAR] AS parts, own_size, mtime
+  FROM lines JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"""
+_ORDERS = """entries AS (SELECT l_orderkey, l_linenumber, string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS content FROM lineitem GROUP BY 1, 2)"""
+_PROJECTS = """q AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS BIGINT) AS q, max(epoch(l_shipdate))::BIGINT AS mtime FROM lineitem GROUP BY 1, 2),
+has AS (SELECT l_orderkey AS o, bool_or(l_linenumber = 1) AS h1, bool_or(l_linenumber = 2) AS h2, bool_or(l_linenumber = 3) AS h3, bool_or(l_linenumber = 4) AS h4, bool_or(l_linenumber = 5) AS h5, bool_or(l_linenumber = 6) AS h6, bool_or(l_linenumber = 7) AS h7,
+  max(q) FILTER (l_linenumber = 2) * 1000 AS q2, max(q) FILTER (l_linenumber = 4) * 1000 AS q4, max(q) FILTER (l_linenumber = 5) * 1000 AS q5, max(q) FILTER (l_linenumber = 7) * 1000 AS q7,
+  max(mtime) FILTER (l_linenumber = 1) AS m1, max(mtime) FILTER (l_linenumber = 2) AS m2, max(mtime) FILTER (l_linenumber = 3) AS m3, max(mtime) FILTER (l_linenumber = 5) AS m5, max(mtime) FILTER (l_linenumber = 6) AS m6 FROM q GROUP BY 1),
+hits AS (SELECT o, '/work/' || o || '/node_modules' AS path, 0 AS rule_ord, NOT h3 AS unpinned, q2 AS size FROM has WHERE h2 AND h1
+  UNION ALL SELECT o, '/work/' || o || '/target', 3, false, q4 FROM has WHERE h4
+  UNION ALL SELECT o, '/work/' || o || '/build', 13, false, q5 FROM has WHERE h5 AND h6
+  UNION ALL SELECT o, '/work/' || o || '/venv', 15, false, q7 FROM has WHERE h7)"""
+#: An untagged sibling counts for freshness: package.json, yarn.lock, CMakeLists.txt, and folders no rule matched.
+_FRESH = """fresh AS (SELECT o, greatest(0, coalesce(CASE WHEN h1 THEN m1 END, 0), coalesce(CASE WHEN h3 THEN m3 END, 0), coalesce(CASE WHEN h6 THEN m6 END, 0),
+  coalesce(CASE WHEN h2 AND NOT h1 THEN m2 END, 0), coalesce(CASE WHEN h5 AND NOT h6 THEN m5 END, 0)) AS last_used FROM has)"""
+#: The fixed clock of queries about ages.
+NOW = 1_000_000_000
+
+
+def _docs(spark, sf_dir):
+    return tree.with_shared_extra(derived.docs_tree(spark, sf_dir))
+
+
+def _q(body: str, *ctes: str) -> str:
+    return f"WITH {', '.join(ctes)} {body}"
+
+
+# Content identity -----------------------------------------------------------------------------------------------------
+
+
 @query(
     "dup_files",
-    """SELECT sha256(text) AS digest, any_value(octet_length(encode(text))) AS size, count(*) AS n_members
-       FROM documents WHERE octet_length(encode(text)) >= 1 GROUP BY sha256(text) HAVING count(*) >= 2""",
+    """SELECT sha256(text) AS digest, any_value(strlen(text))::BIGINT AS size, count(*) AS n_members FROM documents WHERE strlen(text) >= 1 GROUP BY sha256(text) HAVING count(*) >= 2""",
 )
 def dup_files(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.octet_length("text") >= 1)
-    return (
-        docs.groupBy(F.sha2("text", 256).alias("digest"))
-        .agg(F.first(F.octet_length("text").cast("long")).alias("size"), F.count("*").alias("n_members"))
-        .where("n_members >= 2")
-    )
+    files = derived.docs_files(spark, sf_dir).where("own_size >= 1")
+    return files.groupBy(dupes.file_digest(F.col("content")).alias("digest")).agg(F.first("own_size").alias("size"), F.count("*").alias("n_members")).where("n_members >= 2")
+
+
+@query("file_digest", _q("SELECT path, sha256(text) AS digest FROM docs", _DOCS))
+def file_digest(spark, sf_dir):
+    return derived.docs_files(spark, sf_dir).select("path", dupes.file_digest(F.col("content")).alias("digest"))
+
+
+_ASCII = "f AS (SELECT doc_id, strlen(text) AS size, sha256(substring(text, 1, 65536) || right(text, 65536)) AS sample FROM documents WHERE length(text) = strlen(text) AND strlen(text) <= 65536)"
+
+
+def _samples(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents").where("char_length(text) = octet_length(text) and octet_length(text) <= 65536")
+    return d.select("doc_id", F.octet_length("text").alias("size"), dupes.sample_digest(F.encode("text", "UTF-8")).alias("sample"))
+
+
+@query("file_sample_digest", _q("SELECT doc_id, sample FROM f", _ASCII))
+def file_sample_digest(spark, sf_dir):
+    return _samples(spark, sf_dir).select("doc_id", "sample")
+
+
+@query("link_digest", "SELECT page_id, sha256('L' || url) AS digest FROM pages")
+def link_digest(spark, sf_dir):
+    return derived.table(spark, sf_dir, "pages").select("page_id", dupes.link_digest(F.col("url")).alias("digest"))
+
+
+@query(
+    "file_digest_fork",
+    r"""SELECT p_partkey, sha256(p_name::BLOB || '\x4B\x52\x4F\x46\x43\x52\x53\x52'::BLOB || unhex(printf('%02X00000000000000', strlen(p_type))) || p_type::BLOB) AS digest FROM part""",
+)
+def file_digest_fork(spark, sf_dir):
+    p = derived.table(spark, sf_dir, "part")
+    return p.select("p_partkey", dupes.file_digest(F.encode("p_name", "UTF-8"), F.encode("p_type", "UTF-8")).alias("digest"))
+
+
+@query("size_runs", _q("SELECT path, own_size FROM (SELECT *, count(*) OVER (PARTITION BY own_size) AS n FROM docs) WHERE n >= 2", _DOCS))
+def size_runs(spark, sf_dir):
+    files = derived.docs_files(spark, sf_dir)
+    repeated = files.groupBy("own_size").agg(F.count("*").alias("n")).where("n >= 2").select("own_size")
+    return files.join(repeated, "own_size").select("path", "own_size")
+
+
+@query(
+    "data_streams",
+    _q("SELECT own_size, CASE WHEN maybe_shared THEN 'c:1:' || clone_id ELSE 'f:0:' || path END AS stream, count(*) AS n_files FROM docs GROUP BY 1, 2", _DOCS),
+)
+def data_streams(spark, sf_dir):
+    return dupes.cascade(derived.docs_files(spark, sf_dir)).groupBy("own_size", "stream").agg(F.count("*").alias("n_files"))
+
+
+_CASCADE = """s AS (SELECT *, CASE WHEN maybe_shared THEN 'c:1:' || clone_id ELSE 'f:0:' || path END AS stream FROM docs),
+z AS (SELECT own_size, count(*) AS n, count(DISTINCT stream) AS streams FROM s WHERE own_size > 0 GROUP BY 1),
+c AS (SELECT s.*, CASE WHEN s.own_size = 0 THEN 'empty' WHEN n = 1 THEN 'unique' WHEN streams = 1 THEN 'stream' ELSE 'read' END AS stage FROM s LEFT JOIN z USING (own_size))"""
+
+
+@query(
+    "stream_identity",
+    _q("SELECT path, stage, CASE WHEN stage IN ('empty', 'read') THEN 'sha256' WHEN stage = 'stream' THEN 'stream' END AS identity_kind FROM c", _DOCS, _CASCADE),
+)
+def stream_identity(spark, sf_dir):
+    return dupes.cascade(derived.docs_files(spark, sf_dir)).select("path", "stage", "identity_kind")
+
+
+@query("sample_survivors", _q("SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY size, sample) AS n FROM f) WHERE n >= 2", _ASCII))
+def sample_survivors(spark, sf_dir):
+    rows = _samples(spark, sf_dir)
+    return rows.join(rows.groupBy("size", "sample").agg(F.count("*").alias("n")).where("n >= 2").drop("n"), ["size", "sample"]).select("doc_id")
+
+
+@query(
+    "dupes_stats",
+    _q(
+        """SELECT count(*)::BIGINT AS candidate_files, count(DISTINCT (own_size, stream)) FILTER (stage = 'read') AS sampled_files, count(DISTINCT (own_size, stream)) FILTER (stage = 'read') AS hashed_files,
+           (SELECT coalesce(sum(own_size), 0)::BIGINT FROM (SELECT DISTINCT own_size, stream FROM c WHERE stage = 'read')) AS hashed_bytes, count(*) FILTER (stage = 'stream') AS stream_matched_files FROM c""",
+        _DOCS,
+        _CASCADE,
+    ),
+)
+def dupes_stats(spark, sf_dir):
+    return dupes.cascade_stats(dupes.cascade(derived.docs_files(spark, sf_dir)))
+
+
+@query("contents_equal", "SELECT a.doc_id AS a, b.doc_id AS b, a.text = b.text AS equal FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
+def contents_equal(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    a, b = d.select(F.col("doc_id").alias("a"), F.col("content").alias("ca")), d.select(F.col("doc_id").alias("b"), F.col("content").alias("cb"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", actions.contents_equal(F.col("ca"), F.col("cb")).alias("equal"))
+
+
+# Tree -----------------------------------------------------------------------------------------------------------------
+
+
+@query("node_path", _q("SELECT path FROM sales", _SALES))
+def node_path(spark, sf_dir):
+    return derived.sales_files(spark, sf_dir).select(paths.joined(F.col("path_parts")).alias("path"))
+
+
+@query("node_depth", "SELECT page_id, len(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> ''))::INTEGER AS depth FROM pages")
+def node_depth(spark, sf_dir):
+    return derived.pages_files(spark, sf_dir).select(F.col("inode").alias("page_id"), paths.depth(F.col("path"), F.lit("/pages")).alias("depth"))
+
+
+@query("node_children", _q("SELECT parent_path AS path, count(*) AS n_children, min(name) AS first_child, max(name) AS last_child FROM docs GROUP BY 1", _DOCS))
+def node_children(spark, sf_dir):
+    rows = tree.children(derived.docs_files(spark, sf_dir))
+    return rows.select("path", F.size("names").cast("bigint").alias("n_children"), F.col("names")[0].alias("first_child"), F.element_at("names", -1).alias("last_child"))
+
+
+@query(
+    "node_child_lookup",
+    _q("SELECT w.parent_path, w.name, docs.path FROM (SELECT '/docs/src' || (doc_id % 20) || '/en' AS parent_path, doc_id || '.txt' AS name FROM documents) w LEFT JOIN docs USING (parent_path, name)", _DOCS),
+)
+def node_child_lookup(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents")
+    wanted = d.select(F.concat(F.lit("/docs/src"), (F.col("doc_id") % 20).cast("string"), F.lit("/en")).alias("parent_path"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+    return tree.child_named(derived.docs_files(spark, sf_dir), wanted)
+
+
+@query(
+    "node_at_path",
+    _q("SELECT w.path, CASE WHEN docs.path IS NOT NULL THEN 'file' END AS kind FROM (SELECT '/docs/src' || (doc_id % 20) || '/en/' || doc_id || '.txt' AS path FROM documents) w LEFT JOIN docs USING (path)", _DOCS),
+)
+def node_at_path(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents")
+    wanted = d.select(F.concat(F.lit("/docs/src"), (F.col("doc_id") % 20).cast("string"), F.lit("/en/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return tree.at_paths(derived.docs_files(spark, sf_dir), wanted)
+
+
+@query(
+    "dir_evidence",
+    _q("SELECT '/work/' || o AS parent_path, h1 AS has_0, h3 AS has_1, h1 AS ends_0 FROM has", _PROJECTS),
+)
+def dir_evidence(spark, sf_dir):
+    nodes = derived.projects(spark, sf_dir).where("parent_path like '/work/%' and parent_path not like '/work/%/%'")
+    return tree.evidence(nodes, ["package.json", "yarn.lock"], [".json"]).select("parent_path", "has_0", "has_1", "ends_0")
+
+
+@query("shared_extra", _q("SELECT path, shared_extra FROM extra WHERE maybe_shared", _DOCS, _EXTRA))
+def shared_extra(spark, sf_dir):
+    return tree.with_shared_extra(derived.docs_files(spark, sf_dir)).where("maybe_shared").select("path", "shared_extra")
+
+
+@query(
+    "dir_rollup",
+    _q("SELECT '/' || array_to_string(parts[1:k], '/') AS path, sum(own_size)::BIGINT AS total_size, sum(own_size)::BIGINT AS total_alloc, count(*) AS file_count, false AS incomplete FROM sales, (VALUES (1), (2), (3), (4), (5)) AS v(k) GROUP BY 1", _SALES),
+)
+def dir_rollup(spark, sf_dir):
+    return tree.rollup(tree.with_shared_extra(derived.sales_files(spark, sf_dir))).select("path", "total_size", "total_alloc", "file_count", "incomplete")
+
+
+@query(
+    "dir_rollup_shared",
+    _q(
+        """SELECT CASE k WHEN 1 THEN '/docs' WHEN 2 THEN '/docs/' || source ELSE parent_path END AS path, sum(own_size)::BIGINT AS total_size, coalesce(sum(own_alloc) FILTER (NOT shared_extra), 0)::BIGINT AS total_alloc, count(*) AS file_count
+           FROM extra, (VALUES (1), (2), (3)) AS v(k) GROUP BY 1""",
+        _DOCS,
+        _EXTRA,
+    ),
+)
+def dir_rollup_shared(spark, sf_dir):
+    return tree.rollup(tree.with_shared_extra(derived.docs_files(spark, sf_dir))).select("path", "total_size", "total_alloc", "file_count")
+
+
+@query(
+    "dir_incomplete",
+    _q("SELECT CASE k WHEN 1 THEN '/docs' WHEN 2 THEN '/docs/' || source ELSE parent_path END AS path, bool_or(doc_id % 97 = 0) AS incomplete FROM docs, (VALUES (1), (2), (3)) AS v(k) GROUP BY 1", _DOCS),
+)
+def dir_incomplete(spark, sf_dir):
+    files = derived.docs_files(spark, sf_dir).withColumn("unreadable", (F.col("inode") - 1000) % 97 == 0)
+    return tree.rollup(tree.with_shared_extra(files)).select("path", "incomplete")
+
+
+@query(
+    "scan_errors",
+    "SELECT count(*) AS error_count, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT '/docs/' || source || '/' || lang || '/' || doc_id || '.txt' AS p FROM documents WHERE doc_id % 97 = 0 ORDER BY p LIMIT 200)) AS first_paths FROM documents WHERE doc_id % 97 = 0",
+)
+def scan_errors(spark, sf_dir):
+    count, first = tree.scan_errors(derived.docs_files(spark, sf_dir).withColumn("unreadable", (F.col("inode") - 1000) % 97 == 0))
+    return count.crossJoin(first.agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("first_paths")))  # one row each; the list is the report of 200
+
+
+@query("scan_root_dedup", "SELECT doc_id AS root_ord, doc_id // 3 AS inode FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) AS n FROM documents) WHERE n = 1 OR doc_id % 5 = 0")
+def scan_root_dedup(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("root_ord"), F.lit(1).alias("dev"), F.floor(F.col("doc_id") / 3).alias("inode"), F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1).alias("nlink"))
+    return tree.root_dedup(d).select("root_ord", "inode")
+
+
+@query("scan_alias_prune", "SELECT doc_id, doc_id // 2 <> 0 AND row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) > 1 AS pruned FROM documents")
+def scan_alias_prune(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents")
+    nodes = complete(d.select(F.concat(F.lit("/a/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), F.lit("dir").alias("kind"), F.floor(F.col("doc_id") / 2).alias("inode"), F.col("doc_id").alias("own_size")))
+    return tree.alias_prune(nodes).select(F.col("own_size").alias("doc_id"), "pruned")
+
+
+@query("scan_mount_filter", "SELECT doc_id, doc_id % 3 = 2 AS mount FROM documents")
+def scan_mount_filter(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents")
+    nodes = complete(d.select(F.concat(F.lit("/a/"), F.col("doc_id").cast("string")).alias("path"), F.lit("dir").alias("kind"), (F.col("doc_id") % 3).cast("int").alias("dev"), F.col("doc_id").alias("inode")))
+    return tree.mount_filter(nodes, [0, 1]).select(F.col("inode").alias("doc_id"), "mount")
+
+
+_PATHS = ("/Volumes", "/dev", "/home", "/net", "/.vol", "/Users", "/System/Volumes", "/System/Library", "/Users/dev", "/usr/home")
+
+
+@query("scan_system_prune", f"SELECT p AS path, p IN ('/Volumes', '/dev', '/.vol', '/net', '/home', '/System/Volumes') AS pruned FROM (VALUES {', '.join(f'({p!r})' for p in _PATHS)}) AS v(p)")
+def scan_system_prune(spark, sf_dir):
+    return tree.system_prune(complete(spark.createDataFrame([(p,) for p in _PATHS], "path string"))).select("path", "pruned")
+
+
+_ROOTS = ("/a/b", "/a", "/c", "/a/b/c", "/c", "/ab", "/d/e", "/d/e/f")
+
+
+@query(
+    "dedupe_roots",
+    f"""WITH r AS (SELECT p AS path, min(i)::INTEGER AS root_ord FROM (VALUES {', '.join(f'({p!r}, {i})' for i, p in enumerate(_ROOTS))}) AS v(p, i) GROUP BY p)
+        SELECT path, root_ord FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE starts_with(r.path, o.path || '/'))""",
+)
+def dedupe_roots(spark, sf_dir):
+    return tree.dedupe_roots(spark.createDataFrame([(p, i) for i, p in enumerate(_ROOTS)], "path string, root_ord int"))
+
+
+@query("same_object", "SELECT a.doc_id, a.doc_id // 2 = b.doc_id // 2 AS same, a.doc_id // 2 = b.doc_id // 2 AND a.doc_id % 4 <> 0 AS same_for_removal FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
+def same_object(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("dev"), F.floor(F.col("doc_id") / 2).alias("inode"), F.lit("file").alias("kind"), F.when(F.col("doc_id") % 4 == 0, 2).otherwise(1).alias("nlink"))
+    pairs = d.alias("a").join(d.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1)
+    return pairs.select(F.col("a.doc_id").alias("doc_id"), tree.same_object("a", "b").alias("same"), tree.same_object("a", "b", True).alias("same_for_removal"))
+
+
+# Zones and filters ----------------------------------------------------------------------------------------------------
+
+_ZOO_DIRS = (".git", "node_modules", "Tool.app", ".hidden", "plain", "lib.Framework", ".Trash-100", "notes.pages", "src", "v1.2")
+_ZOO = f"""zoo AS (SELECT p_partkey, 'p' || (p_partkey % 23) AS top, CASE WHEN p_partkey % 23 >= 12 AND (p_partkey // 23) % 10 = 0 THEN 'gitless' ELSE [{', '.join(f"'{d}'" for d in _ZOO_DIRS)}][(p_partkey // 23) % 10 + 1] END AS dir,
+  CASE WHEN p_partkey % 3 = 0 THEN '.h' ELSE 'f' END || p_partkey AS name, p_partkey * 100 AS own_size FROM part),
+zooz AS (SELECT *, '/x/' || top || '/' || dir || '/' || name AS path, dir IN ('.git', 'node_modules', 'Tool.app', '.hidden', 'lib.Framework', '.Trash-100', 'notes.pages') AS in_opaque,
+  (SELECT count(*) FROM part q WHERE q.p_partkey % 23 = zoo.p_partkey % 23 AND q.p_partkey % 23 < 12 AND (q.p_partkey // 23) % 10 = 0) > 0 AS inside_repo, name LIKE '.%' AS hidden_file FROM zoo)"""
+
+
+def _zoo(spark, sf_dir):
+    p = derived.table(spark, sf_dir, "part")
+    top = F.col("p_partkey") % 23
+    which = (F.floor(F.col("p_partkey") / 23) % 10).cast("int")
+    folder = F.when((top >= 12) & (which == 0), "gitless").otherwise(F.get(F.array(*[F.lit(d) for d in _ZOO_DIRS]), which))
+    name = F.concat(F.when(F.col("p_partkey") % 3 == 0, ".h").otherwise("f"), F.col("p_partkey").cast("string"))
+    files = complete(p.select(F.concat(F.lit("/x/p"), top.cast("string"), F.lit("/"), folder, F.lit("/"), name).alias("path"), (F.col("p_partkey") * 100).alias("own_size"), F.col("p_partkey").alias("inode")))
+    return files.unionByName(complete(directories_of(files)))
+
+
+@query("zones", _q("SELECT path, in_opaque, inside_repo, hidden_file FROM zooz", _ZOO))
+def zones(spark, sf_dir):
+    return dupes.zones(_zoo(spark, sf_dir)).where("kind = 'file'").select("path", "in_opaque", "inside_repo", "hidden_file")
+
+
+@query("zone_has_git", _q("SELECT DISTINCT '/x/' || top AS path FROM zoo WHERE dir = '.git'", _ZOO))
+def zone_has_git(spark, sf_dir):
+    return dupes.zones(_zoo(spark, sf_dir)).where("has_git").select("path")
+
+
+@query("zone_repo_above_root", _q("SELECT path, true AS inside_repo FROM zooz WHERE path <> '/x'", _ZOO))
+def zone_repo_above_root(spark, sf_dir):
+    outer = spark.createDataFrame([(0,)], "root_ord int")
+    return dupes.zones(_zoo(spark, sf_dir), repo_roots=outer).where("kind = 'file'").select("path", "inside_repo")
+
+
+@query("classify_tool_folders", _q("SELECT DISTINCT '/x/' || top || '/' || dir AS path FROM zoo WHERE dir IN ('.git', 'node_modules', '.Trash-100')", _ZOO))
+def classify_tool_folders(spark, sf_dir):
+    return _zoo(spark, sf_dir).where((F.col("kind") == "dir") & dupes.is_tool_folder(F.col("name"))).select("path")
+
+
+@query("classify_bundles", _q("SELECT DISTINCT '/x/' || top || '/' || dir AS path FROM zoo WHERE dir IN ('Tool.app', 'lib.Framework', 'notes.pages')", _ZOO))
+def classify_bundles(spark, sf_dir):
+    return _zoo(spark, sf_dir).where((F.col("kind") == "dir") & dupes.is_bundle(F.col("name"))).select("path")
+
+
+@query("filter_hidden", _q("SELECT path FROM zooz WHERE name LIKE '.%'", _ZOO))
+def filter_hidden(spark, sf_dir):
+    return _zoo(spark, sf_dir).where((F.col("kind") == "file") & dupes.is_hidden(F.col("name"))).select("path")
+
+
+@query("filter_reportable_files", _q("SELECT path FROM zooz WHERE own_size >= 5000 AND NOT in_opaque AND NOT hidden_file", _ZOO))
+def filter_reportable_files(spark, sf_dir):
+    return dupes.zones(_zoo(spark, sf_dir)).where(dupes.is_reportable_file(5000)).select("path")
+
+
+@query("filter_ignorable", "SELECT p_partkey, p_partkey % 2 = 0 AND p_partkey % 3 <> 0 AS ignorable FROM part")
+def filter_ignorable(spark, sf_dir):
+    p = derived.table(spark, sf_dir, "part")
+    rows = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, ".DS_Store").otherwise(".env").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "dir").otherwise("file").alias("kind"))
+    return rows.select("p_partkey", dupes.is_ignorable().alias("ignorable"))
+
+
+@query("filter_comparable", "SELECT p_partkey FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0")
+def filter_comparable(spark, sf_dir):
+    p = derived.table(spark, sf_dir, "part")
+    flags = {"unreadable": 2, "pruned": 3, "dataless": 5, "mount": 7, "incomplete": 11}
+    return p.select("p_partkey", *[(F.col("p_partkey") % k == 0).alias(n) for n, k in flags.items()]).where(dupes.is_comparable()).select("p_partkey")
+
+
+@query("filter_excludes", _q("SELECT path FROM docs WHERE name LIKE '1%.txt' OR regexp_matches(name, '^[2-3].[.]txt$') OR path = '/docs/src0/en/0.txt'", _DOCS))
+def filter_excludes(spark, sf_dir):
+    rows = excludes.apply(derived.docs_files(spark, sf_dir), HOME, ["1*.txt", "[2-3]?.txt", "/docs/src0/en/0.txt"])
+    return rows.where("pruned").select("path")
+
+
+_HOMES = ("/Users/me/Library", "/Users/me/.Trash", "/Users/you/Library", "/Users/me/work/Library", "/Users/Library", "/Users/me/Music", "/home/me/Library")
+
+
+@query("filter_home_excludes", "SELECT * FROM (VALUES ('/Users/me/Library'), ('/Users/me/.Trash'), ('/Users/you/Library')) AS v(path)")
+def filter_home_excludes(spark, sf_dir):
+    return complete(spark.createDataFrame([(p,) for p in _HOMES], "path string")).where(excludes.is_home_excluded(HOME)).select("path")
+
+
+@query("dupes_scan_rules", _q("SELECT path FROM hits", _PROJECTS))
+def dupes_scan_rules(spark, sf_dir):
+    nodes = derived.projects(spark, sf_dir)
+    return junk.tagged(nodes, junk.artifact_matches(nodes, junk.artifact_rules(spark), HOME)).where("rule_ord is not null").select("path")
+
+
+@query("path_inside", _q("SELECT path, path = '/docs/src1' OR starts_with(path, '/docs/src1/') AS inside FROM docs", _DOCS))
+def path_inside(spark, sf_dir):
+    return derived.docs_files(spark, sf_dir).select("path", paths.is_same_or_inside(F.col("path"), F.lit("/docs/src1")).alias("inside"))
+
+
+@query("path_gone", _q("SELECT path FROM docs WHERE parent_path IN (SELECT '/docs/src' || n || '/en' FROM range(0, 20, 3) AS t(n)) OR path LIKE '/docs/src7/%' OR doc_id % 50 = 1", _DOCS))
+def path_gone(spark, sf_dir):
+    files = derived.docs_files(spark, sf_dir)
+    removed = spark.range(0, 20, 3).select(F.concat(F.lit("/docs/src"), F.col("id").cast("string"), F.lit("/en")).alias("path")).unionByName(spark.createDataFrame([("/docs/src7",)], "path string"))
+    removed = removed.unionByName(files.where((F.col("inode") - 1000) % 50 == 1).select("path"))
+    return dupes.path_gone(files.select("path"), removed)
+
+
+# Folders and groups ---------------------------------------------------------------------------------------------------
+
+_FOLDERS = """folders AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || content, '|' ORDER BY l_linenumber) AS all_content, string_agg(l_linenumber || ':' || length(content), '|' ORDER BY l_linenumber) AS shape, sum(length(content))::BIGINT AS size, count(*) AS n FROM entries GROUP BY 1)"""
+
+
+def _orders(spark, sf_dir):
+    rows = materialize(tree.with_totals(tree.with_shared_extra(derived.order_folders(spark, sf_dir))), "orders")
+    return materialize(dupes.zones(rows).withColumn("digest", F.when(F.col("kind") == "file", dupes.file_digest(F.col("content")))), "orders")
+
+
+def _order_members(spark, sf_dir, **how):
+    rows = _orders(spark, sf_dir)
+    folder = dupes.folder_digest(rows).withColumnRenamed("digest", "_f")
+    rows = materialize(rows.join(folder, ["root_ord", "path"], "left").withColumn("digest", F.coalesce("digest", "_f")).drop("_f"), "orders")
+    return dupes.members(rows, 1, **how), rows
+
+
+@query("structure_signature", _q("SELECT '/orders/' || min(l_orderkey::VARCHAR) AS first_path, count(*) AS n_folders FROM folders GROUP BY shape", _ORDERS, _FOLDERS))
+def structure_signature(spark, sf_dir):
+    rows = dupes.structure_signature(derived.order_folders(spark, sf_dir)).where("path <> '/orders'")
+    return rows.groupBy("signature").agg(F.min("path").alias("first_path"), F.count("*").alias("n_folders")).drop("signature")
+
+
+@query("structure_twins", _q("SELECT '/orders/' || l_orderkey AS path, n FROM (SELECT l_orderkey, count(*) OVER (PARTITION BY shape) AS n FROM folders) WHERE n > 1", _ORDERS, _FOLDERS))
+def structure_twins(spark, sf_dir):
+    return dupes.structure_twins(dupes.structure_signature(derived.order_folders(spark, sf_dir))).select("path", "n")
+
+
+@query("folder_candidates", _q("SELECT '/orders/' || l_orderkey AS path FROM (SELECT l_orderkey, count(*) OVER (PARTITION BY shape) AS n FROM folders) WHERE n > 1", _ORDERS, _FOLDERS))
+def folder_candidates(spark, sf_dir):
+    nodes = derived.order_folders(spark, sf_dir)
+    return dupes.candidate_folders(dupes.zones(nodes), dupes.structure_signature(nodes)).select("path")
+
+
+@query("file_candidates", _q("SELECT '/orders/' || l_orderkey || '/' || l_linenumber AS path FROM entries WHERE l_orderkey IN (SELECT l_orderkey FROM (SELECT l_orderkey, count(*) OVER (PARTITION BY shape) AS n FROM folders) WHERE n > 1)", _ORDERS, _FOLDERS))
+def file_candidates(spark, sf_dir):
+    nodes = derived.order_folders(spark, sf_dir)
+    wanted = dupes.candidate_folders(dupes.zones(nodes), dupes.structure_signature(nodes)).select("root_ord", F.col("path").alias("parent_path"))
+    return nodes.where("kind = 'file'").where(~dupes.is_ignorable()).join(wanted, ["root_ord", "parent_path"], "left_semi").select("path")
+
+
+@query("folder_digest", _q("SELECT '/orders/' || min(l_orderkey::VARCHAR) AS first_path, count(*) AS n_folders FROM folders GROUP BY all_content", _ORDERS, _FOLDERS))
+def folder_digest(spark, sf_dir):
+    rows = dupes.folder_digest(_orders(spark, sf_dir)).where("path <> '/orders'")
+    return rows.groupBy("digest").agg(F.min("path").alias("first_path"), F.count("*").alias("n_folders")).drop("digest")
+
+
+@query("dup_folders", _q("SELECT '/orders/' || min(l_orderkey::VARCHAR) AS first_path, count(*) AS n_members, min(size) AS size FROM folders GROUP BY all_content HAVING count(*) > 1", _ORDERS, _FOLDERS))
+def dup_folders(spark, sf_dir):
+    found, _ = _order_members(spark, sf_dir, include_files=False)
+    return found.groupBy("digest").agg(F.min("path").alias("first_path"), F.count("*").alias("n_members"), F.min("total_size").alias("size")).drop("digest")
+
+
+@query("filter_reportable_folders", _q("SELECT '/orders/' || l_orderkey AS path FROM folders WHERE size >= 8 UNION ALL SELECT '/orders' FROM folders HAVING sum(size) >= 8", _ORDERS, _FOLDERS))
+def filter_reportable_folders(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    rows = rows.drop("digest").join(dupes.folder_digest(rows), ["root_ord", "path"])
+    return rows.where(dupes.is_reportable_folder(8)).select("path")
+
+
+@query(
+    "holds_nested_repo",
+    _q(
+        """SELECT '/orders/' || l_orderkey || '/' || l_linenumber AS path, l_orderkey IN (SELECT l_orderkey FROM (SELECT l_orderkey, count(*) OVER (PARTITION BY all_content) AS n FROM folders) WHERE n > 1) AS nested
+           FROM entries WHERE content IN (SELECT content FROM entries GROUP BY 1 HAVING count(*) > 1)""",
+        _ORDERS,
+        _FOLDERS,
+    ),
+)
+def holds_nested_repo(spark, sf_dir):
+    found, _ = _order_members(spark, sf_dir)
+    return found.where("kind = 'file'").select("path", "nested")
+
+
+_GROUPS = """m AS (SELECT e.*, sha256(text) AS digest, count(*) OVER (PARTITION BY text) AS n FROM extra e WHERE own_size >= 1),
+h AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY digest, parent_path) > 1 THEN 'sibling' END AS hold FROM m WHERE n > 1),
+r AS (SELECT *, CASE WHEN hold IS NULL THEN row_number() OVER (PARTITION BY digest, hold IS NULL ORDER BY mtime, path) END AS rank, bool_or(hold IS NOT NULL) OVER (PARTITION BY digest) AS held FROM h),
+s AS (SELECT *, hold IS NULL AND (held OR rank > 1) AS suggested FROM r),
+st AS (SELECT digest, clone_id, bool_or(NOT suggested) AS kept, sum(own_alloc) FILTER (suggested) AS going, first(own_alloc ORDER BY path) FILTER (suggested) AS one FROM s GROUP BY 1, 2),
+g AS (SELECT digest, coalesce(sum(CASE WHEN kept THEN 0 ELSE one END) FILTER (going IS NOT NULL), 0)::BIGINT AS freed, coalesce(sum(going - CASE WHEN kept THEN 0 ELSE one END) FILTER (going IS NOT NULL), 0)::BIGINT AS shared FROM st GROUP BY 1)"""
+
+
+def _doc_members(spark, sf_dir):
+    from boscage import api
+
+    return api.dupe_members(derived.docs_tree(spark, sf_dir), HOME, min_size=1, files_only=True)
+
+
+@query("holds", _q("SELECT path, hold FROM s", _DOCS, _EXTRA, _GROUPS))
+def holds(spark, sf_dir):
+    return _doc_members(spark, sf_dir)[0].select("path", "hold")
+
+
+@query("keep_rank", _q("SELECT path, rank FROM s", _DOCS, _EXTRA, _GROUPS))
+def keep_rank(spark, sf_dir):
+    return _doc_members(spark, sf_dir)[0].select("path", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("keep_suggest", _q("SELECT path, suggested FROM s", _DOCS, _EXTRA, _GROUPS))
+def keep_suggest(spark, sf_dir):
+    return _doc_members(spark, sf_dir)[0].select("path", "suggested")
+
+
+@query("reclaim_estimate", _q("SELECT digest, freed, shared FROM g", _DOCS, _EXTRA, _GROUPS))
+def reclaim_estimate(spark, sf_dir):
+    rows, every = _doc_members(spark, sf_dir)
+    return dupes.reclaim(rows.withColumn("selected", F.col("suggested")), every).select("digest", "freed", "shared")
+
+
+@query(
+    "dupes_groups",
+    _q("SELECT digest, any_value(own_size) AS size, count(*) AS n_members, count(*) FILTER (suggested) AS n_suggested, any_value(freed) AS reclaimable, any_value(shared) AS shared, min(path) AS first_path FROM s JOIN g USING (digest) GROUP BY 1", _DOCS, _EXTRA, _GROUPS),
+)
+def dupes_groups(spark, sf_dir):
+    from boscage import api
+
+    rows = api.dupes(derived.docs_tree(spark, sf_dir), HOME, min_size=1, files_only=True)
+    return rows.select("digest", "size", F.size("members").cast("bigint").alias("n_members"), F.size(F.filter("members", lambda m: m["suggested"])).cast("bigint").alias("n_suggested"), "reclaimable", "shared", F.col("members")[0]["path"].alias("first_path"))
+
+
+@query("dupes_totals", _q("SELECT sum(freed)::BIGINT AS reclaimable, sum(shared)::BIGINT AS shared FROM g", _DOCS, _EXTRA, _GROUPS))
+def dupes_totals(spark, sf_dir):
+    rows, every = _doc_members(spark, sf_dir)
+    return dupes.reclaim(rows.withColumn("selected", F.col("suggested")), every).agg(F.sum("freed").alias("reclaimable"), F.sum("shared").alias("shared"))
+
+
+@query("dupes_top", _q("SELECT digest, freed AS reclaimable FROM g JOIN (SELECT digest, any_value(own_size) AS size, count(*) AS n, min(path) AS p FROM s GROUP BY 1) USING (digest) ORDER BY freed DESC, size * (n - 1) DESC, p LIMIT 20", _DOCS, _EXTRA, _GROUPS))
+def dupes_top(spark, sf_dir):
+    from boscage import api
+
+    return api.dupes(derived.docs_tree(spark, sf_dir), HOME, min_size=1, files_only=True).limit(20).select("digest", "reclaimable")
+
+
+@query("dupes_undecided", _q("SELECT coalesce(sum(size * greatest(0, stays - 1)), 0)::BIGINT AS undecided_bytes FROM (SELECT digest, any_value(own_size) AS size, count(*) FILTER (NOT suggested) AS stays FROM s GROUP BY 1)", _DOCS, _EXTRA, _GROUPS))
+def dupes_undecided(spark, sf_dir):
+    return dupes.undecided(_doc_members(spark, sf_dir)[0].withColumn("selected", F.col("suggested")))
+
+
+@query("aligned_files", _q("SELECT digest, count(*) AS n_files, count(*) FILTER (suggested) AS n_selected FROM s GROUP BY 1", _DOCS, _EXTRA, _GROUPS))
+def aligned_files(spark, sf_dir):
+    rows, every = _doc_members(spark, sf_dir)
+    return dupes.aligned_files(rows.withColumn("selected", F.col("suggested")), every).groupBy("digest").agg(F.count("*").alias("n_files"), F.count_if("selected").alias("n_selected"))
+
+
+@query("reclaim_fallback", _q("SELECT digest, sum(own_alloc) FILTER (suggested)::BIGINT AS freed FROM s GROUP BY 1 HAVING count(*) FILTER (suggested) > 0", _DOCS, _EXTRA, _GROUPS))
+def reclaim_fallback(spark, sf_dir):
+    """Members whose places do not line up: here, members renamed to folders that the catalog holds nothing of but one."""
+    rows, _ = _doc_members(spark, sf_dir)
+    rows = rows.withColumn("selected", F.col("suggested"))
+    first = rows.groupBy("digest").agg(F.min("path").alias("p"))
+    inside = complete(first.select(F.concat("p", F.lit("/only.txt")).alias("path"), F.lit(1).alias("own_size")))
+    out = dupes.reclaim(rows.withColumn("kind", F.lit("dir")), inside)
+    return out.where("freed > 0").select("digest", "freed")
+
+
+@query("groups_without_survivor", _q("SELECT digest FROM m WHERE n > 1 GROUP BY digest HAVING bool_and(doc_id % 2 = 0)", _DOCS, _EXTRA, _GROUPS))
+def groups_without_survivor(spark, sf_dir):
+    rows = _doc_members(spark, sf_dir)[0]
+    return dupes.without_survivor(rows.withColumn("selected", (F.col("inode") - 1000) % 2 == 0)).select("digest")
+
+
+@query("clone_selection", _q("SELECT path, path <> coalesce(min(CASE WHEN NOT suggested THEN path END) OVER (PARTITION BY digest), '') AS selected FROM s", _DOCS, _EXTRA, _GROUPS))
+def clone_selection(spark, sf_dir):
+    return dupes.clone_selection(_doc_members(spark, sf_dir)[0]).select("path", "selected")
+
+
+@query(
+    "dupes_json",
+    _q("SELECT digest AS sha256, count(*) AS n_members, string_agg(CASE WHEN suggested THEN 'remove' ELSE 'keep' END, ',' ORDER BY path) AS suggestions FROM s GROUP BY 1", _DOCS, _EXTRA, _GROUPS),
+)
+def dupes_json(spark, sf_dir):
+    from boscage import api
+
+    rows = api.dupes_json(api.dupes(derived.docs_tree(spark, sf_dir), HOME, min_size=1, files_only=True))
+    back = F.from_json("json", "sha256 string, members array<struct<path:string,suggestion:string>>")
+    return rows.select(back.alias("j")).select("j.sha256", F.size("j.members").cast("bigint").alias("n_members"), F.array_join(F.transform("j.members", lambda m: m["suggestion"]), ",").alias("suggestions"))
+
+
+@query(
+    "folder_resemblance",
+    _q(
+        """SELECT DISTINCT '/orders/' || oa || '/' || name AS path FROM cnt WHERE shared >= 3 OR (shared >= 1 AND shared * 10 >= least(na, nb) * 3)""",
+        _ORDERS,
+        "f AS (SELECT content, l_orderkey AS o, min(l_linenumber::VARCHAR) AS first FROM entries GROUP BY 1, 2)",
+        "ok AS (SELECT content FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 512)",
+        "pr AS (SELECT a.content, a.o AS oa, b.o AS ob, b.first FROM f a JOIN f b USING (content) JOIN ok USING (content) WHERE a.o <> b.o)",
+        "mem AS (SELECT pr.*, e.l_linenumber::VARCHAR AS name FROM pr JOIN entries e ON e.l_orderkey = oa AND e.content = pr.content)",
+        "sizes AS (SELECT l_orderkey, count(*) - 1 AS n FROM entries GROUP BY 1)",
+        """cnt AS (SELECT mem.content, oa, ob, name, first, any_value(sa.n) AS na, any_value(sb.n) AS nb,
+             count(*) FILTER (x.l_linenumber::VARCHAR <> name AND y.l_linenumber IS NOT NULL AND y.l_linenumber::VARCHAR <> first) AS shared
+           FROM mem JOIN entries x ON x.l_orderkey = oa LEFT JOIN entries y ON y.l_orderkey = ob AND y.l_linenumber = x.l_linenumber JOIN sizes sa ON sa.l_orderkey = oa JOIN sizes sb ON sb.l_orderkey = ob GROUP BY 1, 2, 3, 4, 5)""",
+    ),
+)
+def folder_resemblance(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    found = materialize(dupes.members(rows, 1, include_folders=False), "members")
+    return dupes.resemblance(found, rows).select("path")
