@@ -495,9 +495,9 @@ def holds(spark, sf_dir):
     return _doc_members(spark, sf_dir)[0].select("path", "hold")
 
 
-@query("keep_rank", _q("SELECT path, rank FROM s", _DOCS, _EXTRA, _GROUPS))
+@query("keep_rank", _q("SELECT path, coalesce(rank, 0)::BIGINT AS rank FROM s", _DOCS, _EXTRA, _GROUPS))
 def keep_rank(spark, sf_dir):
-    return _doc_members(spark, sf_dir)[0].select("path", F.col("rank").cast("bigint").alias("rank"))
+    return _doc_members(spark, sf_dir)[0].select("path", F.coalesce("rank", F.lit(0)).cast("bigint").alias("rank"))
 
 
 @query("keep_suggest", _q("SELECT path, suggested FROM s", _DOCS, _EXTRA, _GROUPS))
@@ -599,3 +599,458 @@ def folder_resemblance(spark, sf_dir):
     rows = _orders(spark, sf_dir)
     found = materialize(dupes.members(rows, 1, include_folders=False), "members")
     return dupes.resemblance(found, rows).select("path")
+
+
+# Big ------------------------------------------------------------------------------------------------------------------
+
+
+@query("big_largest_files", _q("SELECT path, own_alloc AS alloc FROM extra WHERE NOT shared_extra ORDER BY own_alloc DESC, string_split(path, '/') LIMIT 15", _DOCS, _EXTRA))
+def big_largest_files(spark, sf_dir):
+    return big.largest_files(tree.with_shared_extra(derived.docs_files(spark, sf_dir)))
+
+
+_SALES_DIRS = """dirs AS (SELECT '/' || array_to_string(parts[1:k], '/') AS path, '/' || array_to_string(parts[1:k - 1], '/') AS parent_path, parts[k] AS name, k AS lvl, sum(own_size)::BIGINT AS size, count(*) AS files FROM sales, (VALUES (1), (2), (3), (4), (5)) AS v(k) GROUP BY 1, 2, 3, 4),
+root AS (SELECT trunc(size * 0.01::DOUBLE)::BIGINT AS th FROM dirs WHERE lvl = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY parent_path ORDER BY size DESC, name) - 1 AS pos FROM dirs WHERE lvl > 1),
+l1 AS (SELECT *, pos < 8 AND size >= greatest(th, 1) AS enter, pos < 3 AND size >= greatest(th // 10, 1) AS leaf FROM rk, root WHERE lvl = 2),
+l2 AS (SELECT rk.*, th, rk.pos < 8 AND rk.size >= greatest(th, 1) AS enter, rk.pos < 3 AND rk.size >= greatest(th // 10, 1) AS leaf FROM rk JOIN (SELECT path AS up FROM l1 WHERE enter) ON parent_path = up, root WHERE lvl = 3)"""
+
+
+def _sales(spark, sf_dir):
+    return materialize(tree.with_totals(tree.with_shared_extra(derived.sales_tree(spark, sf_dir))), "sales")
+
+
+@query("big_child_rank", _q("SELECT path, pos FROM rk", _SALES, _SALES_DIRS))
+def big_child_rank(spark, sf_dir):
+    return big.ranked_children(_sales(spark, sf_dir)).where("kind = 'dir' and path <> '/sales'").select("path", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query(
+    "big_breakdown",
+    _q("SELECT path, 1 AS level, size, files AS file_count FROM l1 WHERE enter OR leaf UNION ALL SELECT path, 2, size, files FROM l2 WHERE enter OR leaf UNION ALL SELECT path, 0, size, files FROM dirs WHERE lvl = 1", _SALES, _SALES_DIRS),
+)
+def big_breakdown(spark, sf_dir):
+    roots = spark.createDataFrame([(0, "/sales")], "root_ord int, path string")
+    return big.breakdown(_sales(spark, sf_dir), roots).select("path", "level", "size", "file_count")
+
+
+@query(
+    "big_omitted",
+    _q(
+        """SELECT path, coalesce(n, 0)::BIGINT AS omitted_count, coalesce(s, 0)::BIGINT AS omitted_size FROM (SELECT path FROM l1 WHERE enter OR leaf UNION ALL SELECT '/sales')
+           LEFT JOIN (SELECT parent_path AS path, count(*) AS n, sum(size) AS s FROM (SELECT parent_path, size FROM l1 WHERE NOT (enter OR leaf) UNION ALL SELECT parent_path, size FROM l2 WHERE NOT (enter OR leaf)) GROUP BY 1) USING (path)""",
+        _SALES,
+        _SALES_DIRS,
+    ),
+)
+def big_omitted(spark, sf_dir):
+    roots = spark.createDataFrame([(0, "/sales")], "root_ord int, path string")
+    return big.breakdown(_sales(spark, sf_dir), roots).where("level < 2").select("path", "omitted_count", "omitted_size")
+
+
+@query("big_json", _q("SELECT path, own_alloc AS alloc FROM extra WHERE NOT shared_extra ORDER BY own_alloc DESC, string_split(path, '/') LIMIT 15", _DOCS, _EXTRA))
+def big_json(spark, sf_dir):
+    rows = big.to_json(big.largest_files(tree.with_shared_extra(derived.docs_files(spark, sf_dir))))
+    return rows.select(F.from_json("json", "alloc bigint, path string").alias("j")).select("j.path", "j.alloc")
+
+
+# Junk -----------------------------------------------------------------------------------------------------------------
+
+
+def _tagged(spark, sf_dir):
+    nodes = materialize(tree.with_totals(tree.with_shared_extra(derived.projects(spark, sf_dir))), "projects")
+    return junk.tagged(nodes, materialize(junk.artifact_matches(nodes, junk.artifact_rules(spark), HOME), "matches"))
+
+
+@query("artifact_match", _q("SELECT path, rule_ord, unpinned FROM hits", _PROJECTS))
+def artifact_match(spark, sf_dir):
+    nodes = derived.projects(spark, sf_dir)
+    return junk.artifact_matches(nodes, junk.artifact_rules(spark), HOME).select("path", "rule_ord", "unpinned")
+
+
+@query("artifact_evidence", _q("SELECT rule_ord, count(*) AS n FROM hits GROUP BY 1", _PROJECTS))
+def artifact_evidence(spark, sf_dir):
+    nodes = derived.projects(spark, sf_dir)
+    return junk.artifact_matches(nodes, junk.artifact_rules(spark), HOME).groupBy("rule_ord").agg(F.count("*").alias("n"))
+
+
+@query("artifact_pinned", _q("SELECT path FROM hits WHERE rule_ord = 0 AND NOT unpinned", _PROJECTS))
+def artifact_pinned(spark, sf_dir):
+    nodes = derived.projects(spark, sf_dir)
+    return junk.artifact_matches(nodes, junk.artifact_rules(spark), HOME).where("rule_ord = 0 and not unpinned").select("path")
+
+
+@query("project_last_used", _q("SELECT path, last_used FROM hits JOIN fresh USING (o)", _PROJECTS, _FRESH))
+def project_last_used(spark, sf_dir):
+    return junk.last_used(_tagged(spark, sf_dir)).select("path", "last_used")
+
+
+_ITEMS = f"""items AS (SELECT path, size, last_used, rule_ord, CASE rule_ord WHEN 0 THEN 'node_modules' WHEN 3 THEN 'rust-target' WHEN 13 THEN 'cmake-build' ELSE 'python-venv' END AS id,
+  CASE WHEN rule_ord = 15 OR unpinned OR {NOW} - last_used < 604800 THEN 'review' ELSE 'safe' END AS safety FROM hits JOIN fresh USING (o) WHERE size >= 10000)"""
+
+
+def _items(spark, sf_dir, **how):
+    return junk.artifact_items(_tagged(spark, sf_dir), junk.artifact_rules(spark), NOW, 10000, **how)
+
+
+@query("junk_artifact_items", _q("SELECT path, id, size, safety, last_used FROM items", _PROJECTS, _FRESH, _ITEMS))
+def junk_artifact_items(spark, sf_dir):
+    return _items(spark, sf_dir).select(F.col("targets")[0].alias("path"), "id", "size", "safety", "last_used")
+
+
+@query("junk_filter_only_skip", _q(f"SELECT path, id FROM items WHERE id <> 'python-venv' AND {NOW} - last_used >= 100000000", _PROJECTS, _FRESH, _ITEMS))
+def junk_filter_only_skip(spark, sf_dir):
+    return junk.only_skip(_items(spark, sf_dir, older_than=100_000_000), ["Projects"], ["PYTHON-VENV"]).select(F.col("targets")[0].alias("path"), "id")
+
+
+@query("junk_category_totals", _q("SELECT 'projects' AS category, sum(size)::BIGINT AS size, count(*) AS n_items, sum(size) FILTER (safety = 'safe')::BIGINT AS safe, sum(size) FILTER (safety = 'review')::BIGINT AS review, 0::BIGINT AS info FROM items", _PROJECTS, _FRESH, _ITEMS))
+def junk_category_totals(spark, sf_dir):
+    return junk.category_totals(_items(spark, sf_dir))
+
+
+@query("junk_totals", _q("SELECT sum(size) FILTER (safety = 'safe')::BIGINT AS safe, sum(size)::BIGINT AS removable FROM items", _PROJECTS, _FRESH, _ITEMS))
+def junk_totals(spark, sf_dir):
+    return junk.totals(_items(spark, sf_dir))
+
+
+@query(
+    "junk_top_per_category",
+    _q("SELECT 'projects' AS category, sum(size)::BIGINT AS size, count(*) AS n_items FROM (SELECT *, row_number() OVER (ORDER BY size DESC, path) AS n FROM items) GROUP BY n <= 8", _PROJECTS, _FRESH, _ITEMS),
+)
+def junk_top_per_category(spark, sf_dir):
+    rows = junk.top_per_category(_items(spark, sf_dir))
+    return rows.groupBy("category", F.col("rank").isNull()).agg(F.sum("size").alias("size"), F.sum("n_items").alias("n_items")).select("category", "size", "n_items")
+
+
+@query("junk_selection", _q("SELECT path FROM items WHERE safety IN ('safe', 'review') AND size > 0", _PROJECTS, _FRESH, _ITEMS))
+def junk_selection(spark, sf_dir):
+    return junk.selection(_items(spark, sf_dir), review=True).select(F.col("targets")[0].alias("path"))
+
+
+@query("junk_items", _q("SELECT path, id, 'projects' AS category, size FROM items ORDER BY size DESC, path", _PROJECTS, _FRESH, _ITEMS))
+def junk_items(spark, sf_dir):
+    return junk.ordered(_items(spark, sf_dir)).select(F.col("targets")[0].alias("path"), "id", "category", "size")
+
+
+@query("junk_json", _q("SELECT path, id, safety, size, last_used FROM items", _PROJECTS, _FRESH, _ITEMS))
+def junk_json(spark, sf_dir):
+    back = F.from_json("json", "paths array<string>, id string, safety string, size bigint, projectLastTouched bigint")
+    return junk.to_json(_items(spark, sf_dir)).select(back.alias("j")).select(F.col("j.paths")[0].alias("path"), "j.id", "j.safety", "j.size", F.col("j.projectLastTouched").alias("last_used"))
+
+
+@query("junk_action_plan", _q("SELECT path, 'remove' AS verdict FROM items WHERE safety = 'safe'", _PROJECTS, _FRESH, _ITEMS))
+def junk_action_plan(spark, sf_dir):
+    return actions.junk_plan(junk.selection(_items(spark, sf_dir)), derived.projects(spark, sf_dir)).select("path", "verdict")
+
+
+#: Documents as entries of known cache folders: three locations, and names that labels know.
+_CACHE_NAMES = ("pip", "Homebrew", "com.apple.Safari", "com.apple.dt.Xcode", "JetBrains", "other")
+_CACHES = f"""caches AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/Users/me/Library/Caches/' WHEN 1 THEN '/Users/me/.cache/' ELSE '/Users/me/.Trash/' END || [{', '.join(f"'{n}'" for n in _CACHE_NAMES)}][doc_id % 6 + 1] || doc_id // 60 AS dummy,
+  CASE doc_id % 3 WHEN 0 THEN 'app-cache' WHEN 1 THEN 'tool-cache' ELSE 'trash' END AS id, CASE WHEN doc_id < 6 THEN [{', '.join(f"'{n}'" for n in _CACHE_NAMES)}][doc_id + 1] ELSE 'entry' || doc_id // 6 END AS name, strlen(text)::BIGINT AS size FROM documents),
+entry AS (SELECT id, name, sum(size)::BIGINT AS size, count(*) AS files FROM caches GROUP BY 1, 2)"""
+
+
+def _cache_nodes(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents")
+    top = F.when(F.col("doc_id") % 3 == 0, "/Users/me/Library/Caches/").when(F.col("doc_id") % 3 == 1, "/Users/me/.cache/").otherwise("/Users/me/.Trash/")
+    name = F.when(F.col("doc_id") < 6, F.get(F.array(*[F.lit(n) for n in _CACHE_NAMES]), F.col("doc_id").cast("int"))).otherwise(F.concat(F.lit("entry"), F.floor(F.col("doc_id") / 6).cast("string")))
+    files = complete(d.select(F.concat(top, name, F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("bigint").alias("own_size"), F.col("doc_id").alias("inode")))
+    nodes = files.unionByName(complete(directories_of(files)))
+    return materialize(tree.with_totals(tree.with_shared_extra(nodes)), "caches")
+
+
+@query("junk_child_items", _q("SELECT id, name, size FROM entry WHERE id <> 'trash' AND size >= 2000 AND name <> 'com.apple.Safari'", _CACHES))
+def junk_child_items(spark, sf_dir):
+    rows = junk.child_items(_cache_nodes(spark, sf_dir), junk.known_locations(spark, HOME), junk.cache_labels(spark), 2000)
+    return rows.select("id", paths.basename(F.col("targets")[0]).alias("name"), "size")
+
+
+@query(
+    "junk_cache_labels",
+    _q("SELECT CASE name WHEN 'pip' THEN 'pip cache' WHEN 'Homebrew' THEN 'Homebrew downloads' WHEN 'com.apple.dt.Xcode' THEN 'Xcode cache' WHEN 'JetBrains' THEN 'JetBrains IDE caches' ELSE 'Cache · ' || name END AS title, CASE name WHEN 'JetBrains' THEN 'review' ELSE 'safe' END AS safety FROM entry WHERE id <> 'trash' AND size >= 1 AND name <> 'com.apple.Safari'", _CACHES),
+)
+def junk_cache_labels(spark, sf_dir):
+    return junk.child_items(_cache_nodes(spark, sf_dir), junk.known_locations(spark, HOME), junk.cache_labels(spark), 1).select("title", "safety")
+
+
+@query("junk_location_items", _q("SELECT 'trash' AS id, sum(size)::BIGINT AS size, sum(files)::BIGINT AS file_count, 'review' AS safety FROM entry WHERE id = 'trash'", _CACHES))
+def junk_location_items(spark, sf_dir):
+    return junk.location_items(_cache_nodes(spark, sf_dir), junk.known_locations(spark, HOME), 1).select("id", "size", "file_count", "safety")
+
+
+@query("junk_location_join", "SELECT '/Users/me/.Trash' AS path, 'trash' AS id UNION ALL SELECT '/Users/me/.cache', 'tool-cache' UNION ALL SELECT '/Users/me/Library/Caches', 'app-cache'")
+def junk_location_join(spark, sf_dir):
+    each = junk.known_locations(spark, HOME).select("id", F.explode("paths").alias("path"))
+    return _cache_nodes(spark, sf_dir).join(F.broadcast(each), "path").select("path", "id")  # a row a known path
+
+
+@query("junk_known_locations", f"SELECT count(*) AS n_locations, {sum(len(r[4]) for r in junk_rules.locations(HOME))}::BIGINT AS n_paths FROM range({len(junk_rules.LOCATIONS) + len(junk_rules.APPS)})")
+def junk_known_locations(spark, sf_dir):
+    return junk.known_locations(spark, HOME).agg(F.count("*").alias("n_locations"), F.sum(F.size("paths")).alias("n_paths"))
+
+
+@query("junk_claimed", "SELECT * FROM (VALUES ('/Users/me', 'Library'), ('/Users/me', 'Applications'), ('/Users/me', '.cache'), ('/Users/me', '.Trash'), ('/Users/me/Library', 'Caches')) AS v(parent_path, name)")
+def junk_claimed(spark, sf_dir):
+    return junk.claimed_names(junk.known_locations(spark, HOME), _cache_nodes(spark, sf_dir), HOME)
+
+
+_APPS = ("com.apple.mail", "com.docker.docker", "com.example.notes", "org.sample.chat")
+
+
+@query("junk_sandbox_caches", "SELECT 'Cache · ' || a AS title, '/Users/me/Library/Containers/' || a || '/Data/Library/Caches' AS path FROM (VALUES ('com.example.notes'), ('org.sample.chat')) AS v(a)")
+def junk_sandbox_caches(spark, sf_dir):
+    rows = complete(spark.createDataFrame([(f"{HOME}/Library/Containers/{a}/Data/Library/Caches", "dir") for a in _APPS], "path string, kind string"))
+    return junk.sandbox_caches(rows, HOME).select("title", F.col("paths")[0].alias("path"))
+
+
+@query("junk_installers", "SELECT 'Install macOS Sonoma' AS title, '/Applications/Install macOS Sonoma.app' AS path")
+def junk_installers(spark, sf_dir):
+    rows = complete(spark.createDataFrame([("/Applications/Install macOS Sonoma.app", "dir"), ("/Applications/Install macOS", "dir"), ("/Applications/Notes.app", "dir"), ("/x/Install macOS A.app", "dir")], "path string, kind string"))
+    return junk.installers(rows).select("title", F.col("paths")[0].alias("path"))
+
+
+@query("junk_project_roots", "SELECT * FROM (VALUES ('/Users/me/work'), ('/Users/me'), ('/Users/me/.cached')) AS v(path)")
+def junk_project_roots(spark, sf_dir):
+    roots = spark.createDataFrame([("/Users/me/work",), ("/Users/me",), ("/Users/me/.cache/x",), ("/Users/me/.Trash",), ("/Users/me/.cached",)], "path string")
+    return junk.project_roots(roots, junk.known_locations(spark, HOME))
+
+
+@query("junk_display_path", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '/a/' || doc_id ELSE '/a/…' END AS display_path FROM documents")
+def junk_display_path(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents")
+    one = F.concat(F.lit("/a/"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", paths.display_path(F.when(F.col("doc_id") % 2 == 0, F.array(one)).otherwise(F.array(one, F.lit("/b")))).alias("display_path"))
+
+
+@query("junk_walk_prune", _q("SELECT '/work/' || o || '/node_modules' AS path FROM has WHERE h2 AND NOT h1", _PROJECTS))
+def junk_walk_prune(spark, sf_dir):
+    claimed = spark.createDataFrame([("/work", "nothing")], "parent_path string, name string")
+    return junk.walk_prune(_tagged(spark, sf_dir), claimed).where("pruned").select("path")
+
+
+# Diff and plans -------------------------------------------------------------------------------------------------------
+
+
+def _now(spark, sf_dir):
+    nodes = derived.docs_tree(spark, sf_dir)
+    doc = F.col("inode") - 1000
+    later = nodes.where((F.col("kind") == "dir") | (doc % 31 != 0))
+    return later.withColumn("own_size", F.when((F.col("kind") == "file") & (doc % 17 == 0), F.col("own_size") + 1).otherwise(F.col("own_size")))
+
+
+@query(
+    "snapshot_diff",
+    _q("SELECT path, CASE WHEN doc_id % 31 = 0 THEN 'no longer exists' ELSE 'modified' END AS reason FROM docs WHERE doc_id % 31 = 0 OR doc_id % 17 = 0 UNION ALL SELECT DISTINCT parent_path, 'entries were added or removed' FROM docs WHERE doc_id % 31 = 0 AND EXISTS (SELECT 1 FROM docs k WHERE k.parent_path = docs.parent_path AND k.doc_id % 31 <> 0) UNION ALL SELECT parent_path, 'entries were added or removed' FROM docs GROUP BY 1 HAVING bool_and(doc_id % 31 = 0)", _DOCS),
+)
+def snapshot_diff(spark, sf_dir):
+    return diff.snapshot_diff(derived.docs_tree(spark, sf_dir), _now(spark, sf_dir))
+
+
+@query(
+    "dupes_action_plan",
+    _q(
+        """SELECT path, CASE WHEN doc_id % 17 = 0 OR NOT EXISTS (SELECT 1 FROM s k WHERE k.digest = s.digest AND NOT k.suggested AND k.doc_id % 17 <> 0) THEN 'skipped' ELSE 'done' END AS verdict FROM s WHERE suggested""",
+        _DOCS,
+        _EXTRA,
+        _GROUPS,
+    ),
+)
+def dupes_action_plan(spark, sf_dir):
+    rows = _doc_members(spark, sf_dir)[0].withColumn("selected", F.col("suggested")).withColumn("change", F.when((F.col("inode") - 1000) % 17 == 0, "modified"))
+    return actions.dupes_plan(rows, HOME).select("path", "verdict")
+
+
+@query("unread_confirm", "SELECT a.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.text <> b.text AND NOT (a.doc_id % 2 = 0 AND a.doc_id % 3 = 0)")
+def unread_confirm(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    pairs = d.select(F.col("doc_id").alias("path"), "content", (F.col("doc_id") + 1).alias("k"), (F.col("doc_id") % 2 == 0).alias("read"), (F.col("doc_id") % 3 == 0).alias("keeper_read"))
+    pairs = pairs.join(d.select(F.col("doc_id").alias("k"), F.col("content").alias("keeper_content")), "k")
+    return actions.unread_differences(pairs).select(F.col("path").alias("doc_id"))
+
+
+@query("clone_plan", _q("SELECT lang AS path, count(*) FILTER (own_size > 0 AND doc_id % 7 <> 0) AS cloned, count(*) FILTER (own_size > 0 AND doc_id % 7 = 0) AS already_shared, coalesce(sum(own_alloc) FILTER (own_size > 0 AND doc_id % 7 <> 0), 0)::BIGINT AS bytes FROM docs GROUP BY 1", _DOCS))
+def clone_plan(spark, sf_dir):
+    f = derived.docs_files(spark, sf_dir)
+    doc = F.col("inode") - 1000
+    pairs = f.select(F.col("path_parts")[2].alias("path"), F.col("own_size").alias("size"), F.col("own_alloc").alias("alloc"), "dev", "clone_id", F.col("dev").alias("keeper_dev"), F.when(doc % 7 == 0, F.col("clone_id")).otherwise(-1).alias("keeper_clone_id"))
+    return actions.clone_plan(pairs)
+
+
+@query(
+    "clone_refusal",
+    """SELECT p_partkey, CASE WHEN p_partkey % 29 = 0 THEN 'file disappeared' WHEN p_partkey % 23 = 0 THEN 'not a regular file' WHEN p_partkey % 19 = 0 THEN 'copies are on different volumes' WHEN p_partkey % 17 = 0 THEN 'already the same file (hard link)'
+       WHEN p_partkey % 13 = 0 THEN 'has other hard links' WHEN p_partkey % 11 = 0 THEN 'owned by another user' WHEN p_partkey % 7 = 0 THEN 'uses file system compression' WHEN p_partkey % 5 = 0 THEN 'locked' WHEN p_partkey % 3 = 0 THEN 'the copy that stays is locked' WHEN p_partkey % 2 = 0 THEN 'sizes differ' END AS reason FROM part""",
+)
+def clone_refusal(spark, sf_dir):
+    k = F.col("p_partkey")
+    side = lambda **v: F.struct(*[x.alias(n) for n, x in v.items()])
+    src = side(kind=F.lit("file"), dev=F.lit(1), inode=F.lit(1), nlink=F.lit(1), uid=F.lit(501), compressed=F.lit(False), locked=k % 3 == 0, size=F.lit(10))
+    dst = side(kind=F.when(k % 23 == 0, "dir").otherwise("file"), dev=F.when(k % 19 == 0, 2).otherwise(1), inode=F.when(k % 17 == 0, 1).otherwise(2), nlink=F.when(k % 13 == 0, 2).otherwise(1), uid=F.when(k % 11 == 0, 0).otherwise(501), compressed=k % 7 == 0, locked=k % 5 == 0, size=F.when(k % 2 == 0, 11).otherwise(10))
+    rows = derived.table(spark, sf_dir, "part").select("p_partkey", src.alias("src"), F.when(k % 29 != 0, dst).alias("dst"))
+    return rows.select("p_partkey", actions.clone_refusal().alias("reason"))
+
+
+_GUARDED = (
+    "/", "/Users", "/usr/bin", "/usr/local/x", "/System/Library", "/Library/Caches", "/Users/me", "/Users/you", "/Users/me/Documents", "/Users/you/Library/Caches", "/Users/me/.ssh/id", "/Users/me/Library/Mail/V10",
+    "/Users/me/Library/CloudStorage/Drive", "/Users/me/Library/CloudStorage/Drive/a", "/Volumes/Disk", "/Volumes/Disk/a", "relative", "/a/../b", "/a//b", "/a/..", "/Users/me/Downloads/x.zip", "/private/var/db/x", "/private/var/folders/x", "/opt/homebrew", "/opt/homebrew/x", "/tmp/x",
+)
+_REFUSED = {
+    "system location": ("/", "/Users", "/usr/bin", "/System/Library", "/Library/Caches", "/private/var/db/x", "/opt/homebrew"), "home directory": ("/Users/me", "/Users/you"), "standard home folder": ("/Users/me/Documents", "/Users/you/Library/Caches"),
+    "credentials or mail": ("/Users/me/.ssh/id", "/Users/me/Library/Mail/V10"), "cloud storage folder": ("/Users/me/Library/CloudStorage/Drive",), "volume root": ("/Volumes/Disk",), "not an absolute, normalized path": ("relative", "/a/../b", "/a//b", "/a/.."),
+}
+
+
+@query("guardrail_refusal", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {next((repr(r) for r, ps in _REFUSED.items() if p in ps), 'NULL')})" for p in _GUARDED) + ") AS v(path, reason)")
+def guardrail_refusal(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in _GUARDED], "path string").select("path", guardrails.refusal(F.col("path"), HOME).alias("reason"))
+
+
+@query("status_volume", "SELECT r_name AS name, (r_regionkey + 1) * 1000 AS total, r_regionkey * 100 AS free, greatest(r_regionkey * 150, r_regionkey * 100) AS available, (r_regionkey + 1) * 1000 - r_regionkey * 100 AS used, r_regionkey * 50 AS purgeable FROM region")
+def status_volume(spark, sf_dir):
+    from boscage import api
+
+    r = derived.table(spark, sf_dir, "region")
+    return api.status(r.select(F.col("r_name").alias("name"), ((F.col("r_regionkey") + 1) * 1000).alias("total"), (F.col("r_regionkey") * 100).alias("free"), (F.col("r_regionkey") * 150).alias("important"))).drop("bar", "used_text")
+
+
+# Scalars --------------------------------------------------------------------------------------------------------------
+
+
+def _sql_bytes(n: str) -> str:
+    steps = [f"({n})::DOUBLE"] + [f"(({n})::DOUBLE" + " / 1000" * k + ")" for k in range(1, 6)]
+    text = lambda v, u: f"CASE WHEN {v} >= 99.95 THEN printf('%.0f', {v}) WHEN {v} >= 9.995 THEN printf('%.1f', {v}) ELSE printf('%.2f', {v}) END || ' {u}'"
+    return f"CASE WHEN {steps[0]} < 999.5 THEN ({n}) || ' B' " + " ".join(f"WHEN {v} < 999.5 THEN {text(v, u)}" for v, u in zip(steps[1:5], scalars.UNITS[1:5])) + f" ELSE {text(steps[5], 'PB')} END"
+
+
+@query("fmt_bytes", f"SELECT o_orderkey, {_sql_bytes('o_orderkey * o_orderkey * 37 + o_orderkey')} AS text FROM orders")
+def fmt_bytes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return derived.table(spark, sf_dir, "orders").select(k, scalars.fmt_bytes(k * k * 37 + k).alias("text"))
+
+
+_SIZES = (("500k", 500000), ("10M", 10000000), ("1.5GB", 1500000000), ("2GiB", 2147483648), ("12", 12), (" 7 kb ", 7000), ("1b", 1), ("x", None), ("-5", None), ("5 parsecs", None), ("1.2.3k", None), ("", None), ("9999999T", None), (".5k", 500), ("1tib", 1099511627776))
+
+
+@query("parse_bytes", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {-1 if v is None else v}::BIGINT)" for s, v in _SIZES) + ") AS v(text, bytes)")
+def parse_bytes(spark, sf_dir):
+    return spark.createDataFrame([(s,) for s, _ in _SIZES], "text string").select("text", F.coalesce(scalars.parse_bytes(F.col("text")), F.lit(-1)).alias("bytes"))
+
+
+_AGES = (("12h", 43200.0), ("30d", 2592000.0), ("2w", 1209600.0), ("6M", 15552000.0), ("1y", 31536000.0), ("1.5d", 129600.0), ("5", None), ("d", None), ("-1d", None), ("3x", None))
+
+
+@query("parse_age", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {-1 if v is None else v}::DOUBLE)" for s, v in _AGES) + ") AS v(text, seconds)")
+def parse_age(spark, sf_dir):
+    return spark.createDataFrame([(s,) for s, _ in _AGES], "text string").select("text", F.coalesce(scalars.parse_age(F.col("text")), F.lit(-1.0)).alias("seconds"))
+
+
+def _sql_unit(s: str, per: int, unit: str) -> str:
+    return f"({s} // {per}) || ' {unit}' || CASE WHEN {s} // {per} = 1 THEN '' ELSE 's' END || ' ago'"
+
+
+@query("fmt_ago", f"SELECT o_orderkey, CASE WHEN s < 3600 THEN 'just now' WHEN s < 86400 THEN {_sql_unit('s', 3600, 'hour')} WHEN s < 5184000 THEN {_sql_unit('s', 86400, 'day')} WHEN s < 63072000 THEN {_sql_unit('s', 2592000, 'month')} ELSE {_sql_unit('s', 31536000, 'year')} END AS ago FROM (SELECT o_orderkey, o_orderkey * o_orderkey - 5 AS s FROM orders)")
+def fmt_ago(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return derived.table(spark, sf_dir, "orders").select(k, scalars.fmt_ago((k * k - 5).cast("double")).alias("ago"))
+
+
+@query("fmt_middle_truncate", "SELECT p_partkey, CASE WHEN length(p_name || p_type) > 16 THEN left(p_name || p_type, 5) || '…' || right(p_name || p_type, 10) ELSE p_name || p_type END AS text FROM part")
+def fmt_middle_truncate(spark, sf_dir):
+    return derived.table(spark, sf_dir, "part").select("p_partkey", scalars.middle_truncated(F.concat("p_name", "p_type"), 16).alias("text"))
+
+
+@query(
+    "fmt_misc",
+    "SELECT o_orderkey, format('{:,}', o_orderkey * 1000) || ' item' || CASE WHEN o_orderkey * 1000 = 1 THEN '' ELSE 's' END AS plural, CASE WHEN s < 10 THEN printf('%.1f', s) || 's' WHEN s < 90 THEN trunc(s)::BIGINT || 's' ELSE trunc(s)::BIGINT // 60 || 'm ' || trunc(s)::BIGINT % 60 || 's' END AS seconds, lpad(o_orderkey::VARCHAR, 12, ' ') AS padded FROM (SELECT o_orderkey, o_orderkey / 8.0 AS s FROM orders)",
+)
+def fmt_misc(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return derived.table(spark, sf_dir, "orders").select(k, scalars.fmt_plural(k * 1000, "item").alias("plural"), scalars.fmt_seconds(k / 8.0).alias("seconds"), scalars.left_padded(k.cast("string"), 12).alias("padded"))
+
+
+_SUFFIXES = (" copy", " (1).txt", " 2.txt", "-old", ".txt", " copy 2.tar", ".jpeg2000", " 12", "_backup.zip", "")
+_NAMES = f"n AS (SELECT p_partkey, p_name || [{', '.join(f"'{x}'" for x in _SUFFIXES)}][p_partkey % {len(_SUFFIXES)} + 1] AS name, p_name || '.txt' AS original FROM part)"
+_STEM = "CASE WHEN regexp_matches(name, '^.+\\.([^. ]{1,5})$') THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END"
+_STRONG = "regexp_matches({}, '([ ._-]copy( ?[0-9]+)?$)|(^copy of )|( ?\\([0-9]+\\)$)|([ ._-]salinan( ?[0-9]+)?$)|(^salinan )|([ ._-]kopie( ?[0-9]+)?$)', 'i')"
+
+
+def _names(spark, sf_dir):
+    p = derived.table(spark, sf_dir, "part")
+    suffix = F.get(F.array(*[F.lit(x) for x in _SUFFIXES]), (F.col("p_partkey") % len(_SUFFIXES)).cast("int"))
+    return p.select("p_partkey", F.concat("p_name", suffix).alias("name"), F.concat("p_name", F.lit(".txt")).alias("original"))
+
+
+@query("name_stem", _q(f"SELECT p_partkey, {_STEM} AS stem FROM n", _NAMES))
+def name_stem(spark, sf_dir):
+    return _names(spark, sf_dir).select("p_partkey", names.stem(F.col("name")).alias("stem"))
+
+
+@query("has_copy_pattern", _q(f"SELECT p_partkey, {_STRONG.format(_STEM)} AS copy FROM n", _NAMES))
+def has_copy_pattern(spark, sf_dir):
+    return _names(spark, sf_dir).select("p_partkey", names.has_copy_pattern(F.col("name")).alias("copy"))
+
+
+@query(
+    "copy_score",
+    _q(f"SELECT p_partkey, CASE WHEN {_STRONG.format(_STEM)} THEN 2 WHEN regexp_matches(name, '(^|[ ._-])(backup|backups|bak|old|orig|archive|archived|tmp|temp)($|[ ._-])', 'i') THEN 1 ELSE 0 END + 1 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS score FROM n", _NAMES),
+)
+def copy_score(spark, sf_dir):
+    path = F.concat(F.when(F.col("p_partkey") % 2 == 0, "/Users/me/Downloads/old/").otherwise("/Users/me/x/old/"), "name")
+    return _names(spark, sf_dir).select("p_partkey", names.copy_score(path, HOME).alias("score"))
+
+
+@query("numbered_base", _q(f"SELECT p_partkey, CASE WHEN regexp_matches(stem, '^.+ [0-9]{{1,2}}$') THEN regexp_replace(stem, ' [0-9]{{1,2}}$', '') END AS base FROM (SELECT p_partkey, {_STEM} AS stem FROM n)", _NAMES))
+def numbered_base(spark, sf_dir):
+    return _names(spark, sf_dir).select("p_partkey", names.numbered_base(names.stem(F.col("name"))).alias("base"))
+
+
+@query("in_same_series", "SELECT p_partkey, true AS series FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, false FROM part WHERE p_partkey % 3 <> 0")
+def in_same_series(spark, sf_dir):
+    other = F.when(F.col("p_partkey") % 3 == 0, "Draft 7.doc").when(F.col("p_partkey") % 3 == 1, "Draft.doc").otherwise("Sketch 7")
+    return derived.table(spark, sf_dir, "part").select("p_partkey", names.in_same_series(F.lit("Draft 5.txt"), other).alias("series"))
+
+
+_VARIANTS = (("Report 2.txt", "Report.txt", True), ("Report-old", "Report", True), ("Raw backup", "Raw", True), ("Old Report.txt", "Report.txt", True), ("file.1", "file", True), ("Report", "Report", False), ("Reports.txt", "Report.txt", False), ("xReport", "Report", False), ("index.html.1", "index.html", True), ("Report (1).pdf", "Report.pdf", True))
+
+
+@query("is_variant_name", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {str(v).lower()})" for a, b, v in _VARIANTS) + ") AS v(name, original, variant)")
+def is_variant_name(spark, sf_dir):
+    return spark.createDataFrame([(a, b) for a, b, _ in _VARIANTS], "name string, original string").select("name", "original", names.is_variant_name(F.col("name"), F.col("original")).alias("variant"))
+
+
+@query("numbered_copy_bonus", _q("SELECT path, 0 AS score FROM s", _DOCS, _EXTRA, _GROUPS))
+def numbered_copy_bonus(spark, sf_dir):
+    return _doc_members(spark, sf_dir)[0].select("path", "score")
+
+
+@query("path_parent_base", _q("SELECT path, parent_path, name FROM docs", _DOCS))
+def path_parent_base(spark, sf_dir):
+    return derived.docs_files(spark, sf_dir).select("path", paths.parent(F.col("path")).alias("parent_path"), paths.basename(F.col("path")).alias("name"))
+
+
+@query("path_abbreviate", _q("SELECT path, CASE WHEN path LIKE '/docs/src1/%' THEN '~' || substr(path, 11) ELSE path END AS short FROM docs", _DOCS))
+def path_abbreviate(spark, sf_dir):
+    return derived.docs_files(spark, sf_dir).select("path", paths.abbreviate(F.col("path"), "/docs/src1").alias("short"))
+
+
+@query("mode_kind", "SELECT * FROM (VALUES (33188, 'file'), (16877, 'dir'), (41471, 'symlink'), (8630, 'other')) AS v(mode, kind)")
+def mode_kind(spark, sf_dir):
+    return spark.createDataFrame([(33188,), (16877,), (41471,), (8630,)], "mode int").select("mode", paths.kind_of_mode(F.col("mode")).alias("kind"))
+
+
+@query("scan_catalog", "SELECT 'dir' AS kind, 2::BIGINT AS n UNION ALL SELECT 'file', 2 UNION ALL SELECT 'symlink', 1")
+def scan_catalog(spark, sf_dir):
+    """A scan of a small directory that is made for it, on the machine of a local session."""
+    import os
+    import tempfile
+
+    from boscage.sources.local import LocalTree
+
+    top = tempfile.mkdtemp(prefix="boscage-scan-")
+    os.mkdir(f"{top}/sub")
+    for name in ("a.txt", "sub/.hidden"):
+        with open(f"{top}/{name}", "w") as f:
+            f.write("x" * 10)
+    os.symlink("a.txt", f"{top}/link")
+    spark.dataSource.register(LocalTree)
+    return spark.read.format("local_tree").option("path", top).load().groupBy("kind").agg(F.count("*").alias("n"))
