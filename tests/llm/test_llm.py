@@ -267,7 +267,7 @@ def test_line_dedup(spark, empty):
     fuzzy = long.split(" ")
     fuzzy[40] = "other"
     texts = [None, "", "All rights reserved.\nfirst own line here\nok", "ALL RIGHTS, reserved!\nok\n\nsecond own line here", long + "\nthird own line here", " ".join(fuzzy), "All rights reserved.\nAll rights reserved."]
-    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(2, texts[2], "x")]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(2, texts[2], "x")] + [(4, texts[4], "x")] * 7
     docs = spark.createDataFrame(rows, "doc_id long, text string, removed string")
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs.withColumn("line", F.lit(1))).collect()}
     assert got[0].text is None and got[1].text == "" and got[2].text == texts[2]
@@ -281,6 +281,8 @@ def test_line_dedup(spark, empty):
     forms = [sentence(n) for n in (3, 100, 255, 256, 700)]
     lines = line_dedup.lines_of(spark.createDataFrame([(i, i, t) for i, t in enumerate(forms)], "doc_id long, text_hash long, text string"))
     assert {r.doc_id: r.simhash for r in lines.collect()} == {i: plain(t.split(" ")) for i, t in enumerate(forms)}
+    again = line_dedup.lines_of(spark.createDataFrame([(1, 1, forms[3])] * 9, "doc_id long, text_hash long, text string")).collect()
+    assert {(r.simhash, r.n_words) for r in again} == {(plain(forms[3].split(" ")), 256)} and len(again) == 9
     near = [bin(plain(long.split(" ")) ^ plain(fuzzy)).count("1") <= line_dedup.DISTANCE]
     assert (got[5].text == "") == near[0]
 
