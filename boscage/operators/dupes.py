@@ -108,7 +108,7 @@ def link_digest(target: Column) -> Column:
 
 def stream_identity(dev: Column, clone_id: Column, size: Column) -> Column:
     """A name for a data stream that was matched by storage and never read. It is not a hash."""
-    return F.lower(F.hex(F.concat(_le64(F.lit(0x53415055434C4F4E).cast("bigint")), _le64(dev.cast("bigint")), _le64(clone_id), _le64(size))))
+    return F.concat_ws(":", F.lit("stream"), dev.cast("string"), clone_id.cast("string"), size.cast("string"))
 
 
 def cascade(files: DataFrame, small: int = SMALL_FILE) -> DataFrame:
