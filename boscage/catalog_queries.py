@@ -1054,3 +1054,12 @@ def scan_catalog(spark, sf_dir):
     os.symlink("a.txt", f"{top}/link")
     spark.dataSource.register(LocalTree)
     return spark.read.format("local_tree").option("path", top).load().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("holds_large_group", _q("SELECT '/orders/' || l_orderkey || '/' || l_linenumber AS path, 'similarFolder' AS hold FROM entries WHERE content IN (SELECT content FROM entries GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 512)", _ORDERS))
+def holds_large_group(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    found = dupes.members(rows, 1, include_folders=False)
+    many = found.groupBy("kind", "digest").agg(F.count_distinct("parent_path").alias("n")).where(F.col("n") > dupes.MAX_FOLDERS_COMPARED).select("kind", "digest")
+    found = materialize(found.join(many, ["kind", "digest"], "left_semi"), "members")
+    return dupes.holds(found, rows).select("path", "hold")
