@@ -91,7 +91,7 @@ def _sign(gram: int, tries: int, d: int, id_type):
     salts = _keys(tries, 3)
 
     def run(batches):
-        for b in slices(batches, 1, 3_000_000):
+        for b in slices(batches, 1, 1_500_000):
             words = Words(b.column(1))
             keys = [sequence_keys(words, seed) for seed in (5, 6)]
             hashes, n = gram_hashes(words, gram)
@@ -229,7 +229,7 @@ def _confirmed(gram: int):
     """Texts found by id to the sorted gram sets of those that are their class's text."""
 
     def run(batches):
-        for b in slices(batches, 1, 3_000_000):
+        for b in slices(batches, 1, 1_500_000):
             words = Words(b.column(1))
             right = sequence_keys(words, 5) == b.column(0).to_numpy()
             hashes, n = gram_hashes(words, gram)

@@ -29,7 +29,7 @@ WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
 #: Tasks whose leftovers one task merges.
 MERGE_TASKS = 256
 #: Distinct pre-tokens kept by a Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 #: Texts of these characters alone are split here; all others go to the tokenizer whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")

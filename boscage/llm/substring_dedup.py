@@ -119,7 +119,7 @@ def _pieces(n_buckets: int, window: int):
         )
 
     def run(batches):
-        for b in slices(batches, 1, 3_000_000):
+        for b in slices(batches, 1, 1_500_000):
             yield from emit(b.column(0).to_numpy(), b.column(1))
 
     return run

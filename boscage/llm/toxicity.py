@@ -56,7 +56,7 @@ class Kinds(dict):
         self.words, self.begins = words, begins
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = _CORE.search(token)
         core = found[0] if found else ""
@@ -255,7 +255,7 @@ def _fold(id_col: str):
 def _featurize(words: frozenset, begins: frozenset):
     def run(batches):
         kinds = Kinds(words, begins)
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 1_000_000):
             x = features(b.column(1), kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         kinds = Kinds(model.words, model.begins)
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 1_000_000):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(features(b.column(1), kinds)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
@@ -294,7 +294,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
 
     def run(batches):
         kinds = Kinds(model.words, model.begins)
-        for b in slices(batches, at):
+        for b in slices(batches, at, 1_000_000):
             yield b.filter(pa.array(model.score(features(b.column(at), kinds)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
