@@ -305,6 +305,33 @@ def test_line_dedup(spark, empty):
         assert r.s == (1 - distance(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9)
 
 
+def test_line_dedup_finds_all_similar(spark):
+    """Every line of a pair at word edit similarity 0.8 or more is found: exactly up to 14 words, nearly always above; large families too."""
+    rnd = random.Random(11)
+    new = lambda n: [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, short = [], 0
+    for n in (5, 6, 8, 10, 14, 15, 20, 30, 60):
+        for k in range(60):
+            a = new(n)
+            b = list(a)
+            for at in rnd.sample(range(n), n // 5):
+                b[at] = new(1)[0]
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+            short += n <= 14
+    # A family of one template: all meet in its places, which are larger than a block.
+    base = new(20)
+    family = [" ".join(base[: k % 20] + new(1) + base[k % 20 + 1 :]) for k in range(700)]
+    # One run in common and nothing else: none goes.
+    apart = [" ".join(base[:3] + new(17)) for _ in range(300)]
+    start = len(rows)
+    rows += [(start + k, t) for k, t in enumerate(family + apart)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i] for i in range(0, start, 2))
+    found = [got[i] for i in range(1, start, 2)]
+    assert all(found[:short]) and sum(found[short:]) >= 0.97 * (len(found) - short)
+    assert sum(got[start + k] for k in range(700)) == 699 and not any(got[start + k] for k in range(700, 1000))
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
