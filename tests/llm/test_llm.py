@@ -353,6 +353,16 @@ def test_mixing(spark, docs, rows, empty):
         mixing.mix(docs.withColumn("size", F.lit(1)), keep=["size"])
 
 
+def test_mixing_of_small_sources(spark, monkeypatch):
+    """Every source ends at its target, also where blocks of the large ones are larger than it."""
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    monkeypatch.setattr(mixing, "SLOTS_PER_SOURCE", 1)
+    sizes = [5, 10, 30, 15, 60] + [4000] * 6
+    rows = [(1000 * k + i, sentence(5), f"s{k:02d}") for k, n in enumerate(sizes) for i in range(n // 5)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+    assert len(got) == len(sizes) and all(r.n == round(r.t) > 0 for r in got)
+
+
 def test_targets():
     assert mixing.targets({"a": 10, "b": 100, None: 100}) == {"a": 20.0, "b": pytest.approx(295 * 2 / 3), None: pytest.approx(295 / 3)}
 
