@@ -5,8 +5,8 @@ an encoding (hex, base32, base36, base62, base64, letters) is tested for randomn
 
 * chi-squared uniformity over the alphabet, runs above and below the middle of the alphabet, and lag-1 serial
   correlation, combined by Fisher's method: a token whose combined p-value is under UNIFORM_P is no random string;
-* the same chi-squared statistic against natural text, whose mean and variance follow from the token's length and the
-  coincidence rates of letters in text: its lower tail is the p-value of the null "this is natural".
+* how likely the token is as natural text over how likely it is as a random one of its encoding, at most 1: by Markov's inequality a p-value of
+  the null "this is natural". Natural text is a chain of symbol classes (CLASS_STEPS) with letters by the letter before, counted over the corpus.
 
 Natural p-values are controlled by Benjamini-Hochberg at rate FDR within each band of lengths, over the whole corpus: short tokens,
 which are many and say little, cannot borrow significance from long ones. Only counts by band and by bin of p leave the
@@ -30,8 +30,8 @@ from boscage.llm.common import materialize, slices
 
 BASE_KINDS = ("assign", "access", "hex")
 FDR, UNIFORM_P = 0.01, 0.001
-#: Chance that two, and three, letters of natural text agree (fixed values).
-NATURAL_2, NATURAL_3 = 0.0667, 0.0058
+#: Chances of the next symbol's class (lower, upper, digit, other) in names and words, by the class before; the last row is the start (fixed values).
+CLASS_STEPS = ((0.90, 0.04, 0.03, 0.03), (0.45, 0.45, 0.05, 0.05), (0.05, 0.05, 0.80, 0.10), (0.50, 0.20, 0.25, 0.05), (0.50, 0.30, 0.15, 0.05))
 #: Upper ends of the bands of lengths, and bins of -log2 p.
 BANDS, BINS = (24, 32, 40, 48, 64, 96, 128), 64
 
@@ -85,7 +85,37 @@ def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(token: str, alphabet: str) -> dict:
+#: Bytes as letters 0 to 25 of either case, 26 for all else.
+_FOLD = np.full(256, 26)
+_FOLD[97:123] = _FOLD[65:91] = np.arange(26)
+
+
+def letter_bits(counts: np.ndarray | None = None) -> np.ndarray:
+    """Bits of a letter (column) after a letter or anything else (row 26), of counts of pairs, each one more than seen."""
+    seen = np.ones((27, 26)) if counts is None else counts.reshape(27, 27)[:, :26] + 1.0
+    return -np.log2(seen / seen.sum(1, keepdims=True))
+
+
+def natural_bits(body: str, letters: np.ndarray) -> float:
+    """Bits of a token as natural text."""
+    bits, kind, last = 0.0, 4, 26
+    for c in body:
+        new = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+        letter = int(_FOLD[ord(c)])
+        bits -= math.log2(CLASS_STEPS[kind][new])
+        bits += letters[last, letter] if new < 2 else math.log2(10) if new == 2 else 1.0
+        kind, last = new, letter
+    return float(bits)
+
+
+def _pairs(batches):
+    for b in slices(batches, 1):
+        x = _FOLD[np.frombuffer("\n".join(t or "" for t in b.column(1).to_pylist()).encode("utf-8", "replace"), np.uint8)]
+        counts = np.bincount(x[:-1] * 27 + x[1:], minlength=729)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(729)), pa.array(counts.astype(np.int64))], names=["pair", "n"])
+
+
+def battery(token: str, alphabet: str, letters: np.ndarray | None = None) -> dict:
     """chi2 and the p-values of the tests; natural: p-value against natural text."""
     body = token.rstrip("=")
     n, k = len(body), len(alphabet)
@@ -111,11 +141,8 @@ def battery(token: str, alphabet: str) -> dict:
     p_serial = 2 * _normal_tail(abs(r + 1 / (n - 1)) * math.sqrt(n))
     half = -sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
     uniform = math.exp(-half) * (1 + half + half * half / 2) if half < 700 else 0.0
-    pairs = n * (n - 1) / 2
-    same = float((counts * (counts - 1) // 2).sum())
-    mean = pairs * NATURAL_2
-    var = pairs * (NATURAL_2 - NATURAL_2**2) + n * (n - 1) * (n - 2) * (NATURAL_3 - NATURAL_2**2)
-    natural = _normal_tail((mean - same - 0.5) / math.sqrt(var))
+    over = natural_bits(body, letter_bits() if letters is None else letters) - n * math.log2(k)
+    natural = 2.0 ** -min(max(over, 0.0), 1000.0)
     return {"chi2": chi2, "p_chi": p_chi, "p_runs": p_runs, "p_serial": p_serial, "uniform": uniform, "natural": natural}
 
 
@@ -123,14 +150,14 @@ def band(length: int) -> int:
     return sum(length > b for b in BANDS)
 
 
-def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+def candidates(text: str, spans: list[tuple[str, int, int]], letters: np.ndarray | None = None) -> list[dict]:
     """Tokens with an encoding, outside the spans: place, encoding, band, bin of the natural p-value, uniform p-value."""
     out = []
     for m in _TOKEN.finditer(text):
         found = infer_encoding(m[0])
         if not found or any(a < m.end() and m.start() < b for _, a, b in spans):
             continue
-        p = battery(m[0], found[1])
+        p = battery(m[0], found[1], letters)
         bits = min(BINS - 1, int(-math.log2(max(p["natural"], 1e-300))))
         out.append({"start": m.start(), "end": m.end(), "encoding": found[0], "band": band(m.end() - m.start()), "bin": bits, "uniform": p["uniform"]})
     return out
@@ -140,14 +167,17 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 _CANDIDATE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("band", pa.int32()), ("bin", pa.int32()), ("uniform", pa.float64())]))
 
 
-def _scan(batches):
-    for b in slices(batches, 1):
-        spans, tested = [], []
-        for text in b.column(1).to_pylist():
-            own = base_spans(text or "")
-            spans.append([dict(zip(("kind", "start", "end"), s)) for s in own])
-            tested.append(candidates(text or "", own))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPAN), pa.array(tested, _CANDIDATE)], names=["doc_id", "base", "tested"])
+def _scan(letters):
+    def run(batches):
+        for b in slices(batches, 1):
+            spans, tested = [], []
+            for text in b.column(1).to_pylist():
+                own = base_spans(text or "")
+                spans.append([dict(zip(("kind", "start", "end"), s)) for s in own])
+                tested.append(candidates(text or "", own, letters))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPAN), pa.array(tested, _CANDIDATE)], names=["doc_id", "base", "tested"])
+
+    return run
 
 
 def thresholds(counts: dict[tuple[int, int], int], rate: float = FDR) -> list[int]:
@@ -172,8 +202,12 @@ def span_text(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FDR, uniform_p: float = UNIFORM_P) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end; spans holds base and the random tokens, by start), a row for each input row."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _scan, f"doc_id {id_type}, base array<struct<kind:string,start:long,end:long>>, tested array<struct<start:long,end:long,encoding:string,band:int,bin:int,uniform:double>>"
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    counts = np.zeros(729)
+    for r in texts.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 729 rows at most
+        counts[r["pair"]] = r["n"]
+    rows = texts.mapInArrow(
+        _scan(letter_bits(counts)), f"doc_id {id_type}, base array<struct<kind:string,start:long,end:long>>, tested array<struct<start:long,end:long,encoding:string,band:int,bin:int,uniform:double>>"
     )
     rows = materialize(rows, "secrets")  # no texts: spans and test results only
     every = rows.select(F.explode("tested").alias("t")).groupBy("t.band", "t.bin").count()  # bands x bins rows at most

@@ -203,6 +203,26 @@ def test_secrets(spark, empty):
     assert secrets.battery("abcdefghijklmnopqrstuvwxyz0123456789AB", secrets.ENCODINGS[5][1])["uniform"] < 1e-3
 
 
+def test_secrets_of_usual_lengths(spark):
+    """Planted tokens of 16 to 40 characters of every encoding are found among many natural tokens, and few of those are."""
+    rnd = random.Random(3)
+    stems = "account service internal response handler transport configuration management national committee development information processing".split()
+    natural = lambda: rnd.choice(("".join, "_".join, lambda w: "".join(x.title() for x in w)))(rnd.sample(stems, 3)) + rnd.choice(("", "", "2", "2024"))
+    rows, planted = [(i, " ".join(natural() for _ in range(4)) + " " + " ".join(rnd.choices(stems, k=30))) for i in range(1000)], {}
+    for name, alphabet in secrets.ENCODINGS:
+        for n in (16, 24, 32, 40):
+            for _ in range(10):
+                token = "-"
+                while (secrets.infer_encoding(token) or ("",))[0] != name:
+                    token = "".join(rnd.choices(alphabet, k=n))
+                planted[len(rows)] = (name, n)
+                rows.append((len(rows), f"it is {token} here"))
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = collections.Counter(planted[i] for i in planted if got[i] in ([f"random_{planted[i][0]}"], ["hex"]))
+    assert len(found) == 4 * len(secrets.ENCODINGS) and min(found.values()) >= 7, found
+    assert sum(len(got[i]) for i in range(1000)) <= 0.05 * len(planted)
+
+
 def brute_links(texts):
     sets = {}
     for t in set(map(tuple, map(words, texts))):
