@@ -6,7 +6,7 @@ The permutation depends on the key and the format only, so equal values have equ
 different values of a format have different ones. Local parts of mail addresses are permuted letter by letter class.
 
 Defined results: a null text stays null and has zero counts; an empty text stays empty; what fails validation is
-left as it is; repeated rows give equal rows; other columns are ignored unless asked for. DataFrame functions only.
+tried again without the groups around it (cards: any groups in a row, the first and longest that passes; IBANs: the length of the country), and else left as it is; repeated rows give equal rows; other columns are ignored unless asked for. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -157,6 +157,54 @@ def _new_date(m: Column, key: str) -> Column:
     return let(_date(m), of)
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = dict(p.split(":") for p in """AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18
+FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27
+MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30""".split())
+
+
+def _iban_ok(s: Column) -> Column:
+    """Whether an IBAN without blanks has its check digits."""
+    return mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1
+
+
+def _parts(m: Column, start: Column, length: Column) -> Column:
+    """struct(before, part, after) of m, the part from start (0 on) of so many characters."""
+    return F.struct(F.substring(m, F.lit(1), start).alias("before"), F.substring(m, start + 1, length).alias("part"), F.substring(m, start + length + 1, F.length(m)).alias("after"))
+
+
+def valid_part(m: Column) -> Column:
+    """struct(before, part, after) of a match of PATTERN: the card or IBAN inside a match that fails as a whole, else all of it."""
+    whole = F.struct(F.lit("").alias("before"), m.alias("part"), F.lit("").alias("after"))
+    digits = lambda s: F.regexp_replace(s, r"\D", "")
+
+    def card(groups):
+        start = lambda i: F.aggregate(F.slice(groups, F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g) + 1)
+        last = F.size(groups) - 1
+        spans = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.reverse(F.sequence(i, last)), lambda j: F.struct(start(i).alias("s"), (start(j + 1) - 1 - start(i)).alias("n")))))
+        number = lambda x: digits(F.substring(m, x["s"] + 1, x["n"]))
+        fits = F.filter(spans, lambda x: let(number(x), lambda d: F.when(F.length(d).between(13, 19), luhn_sum(d) % 10 == 0).otherwise(False)))
+        return let(F.get(fits, 0), lambda x: F.when(x.isNotNull(), _parts(m, x["s"], x["n"])).otherwise(whole))
+
+    def iban(length):
+        # Ends of prefixes of so many characters besides blanks, where a blank follows.
+        ends = F.filter(F.sequence(F.lit(1), F.length(m) - 1), lambda k: (F.substring(m, k + 1, F.lit(1)) == " ") & (F.length(F.replace(F.substring(m, F.lit(1), k), F.lit(" "), F.lit(""))) == length))
+        return let(F.get(ends, 0), lambda k: F.when(k.isNotNull() & _iban_ok(F.replace(F.substring(m, F.lit(1), k), F.lit(" "), F.lit(""))), _parts(m, F.lit(0), k)).otherwise(whole))
+
+    lengths = F.create_map(*[F.lit(x) for k, v in IBAN_LENGTHS.items() for x in (k, int(v))])
+    return (
+        F.when(m.contains("@"), whole)
+        .when(m.rlike("^[A-Z]{2}"), F.when(_iban_ok(F.replace(m, F.lit(" "), F.lit(""))), whole).otherwise(let(F.try_element_at(lengths, F.substring(m, 1, 2)), iban)))
+        .when(m.rlike(r"^\d(?:[ -]?\d){12,18}$"), F.when(luhn_sum(digits(m)) % 10 == 0, whole).otherwise(let(F.split(m, "[ -]"), card)))
+        .otherwise(whole)
+    )
+
+
+def pseudonym_within(m: Column, key: str) -> Column:
+    """pseudonym() of the valid part of a match, what is around it kept."""
+    return let(valid_part(m), lambda p: let(pseudonym(p["part"], key), lambda x: F.struct(x["kind"].alias("kind"), F.concat(p["before"], x["value"], p["after"]).alias("value"))))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, value) for one match of PATTERN; kind is null and value the match itself where validation fails."""
     digits = F.regexp_replace(m, r"\D", "")
@@ -218,7 +266,7 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     none = F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("kinds"))
     done = F.when(
-        F.col("text").rlike("[0-9@]"), let(found, lambda f: F.when(F.size(f) == 0, none).otherwise(let(F.transform(f, lambda m: pseudonym(m, key)), rebuilt)))
+        F.col("text").rlike("[0-9@]"), let(found, lambda f: F.when(F.size(f) == 0, none).otherwise(let(F.transform(f, lambda m: pseudonym_within(m, key)), rebuilt)))
     ).otherwise(none)
     rows = rows.withColumn("done", done)
     count = lambda k: F.size(F.filter("done.kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")

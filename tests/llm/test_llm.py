@@ -412,6 +412,18 @@ def test_pii(spark, empty):
     assert out.distinct().count() == 3000 and out.where(~F.col("v").rlike("^[0-9]{4}$")).count() == 0
 
 
+def test_pii_with_other_groups_around(spark):
+    """Cards before or after other digits, and IBANs before upper-case words."""
+    card, ibans = "4111 1111 1111 1111", ["ES9121000418450200051332", "SE45 5000 0000 0583 9825 7466"]
+    texts = [f"card {card} 12/27", "4111111111111111 123", f"{ibans[0]} BIC", f"{ibans[1]} EUR", f"no 12 {card}", "4111 1111 1111 1112 12/27", "ES9121000418450200051333 BIC"]
+    got = [r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert [(r.n_card, r.n_iban) for r in got[:5]] == [(1, 0), (1, 0), (0, 1), (0, 1), (1, 0)]
+    assert not any(x in got[i].text for i, x in ((0, card), (1, "4111111111111111"), (2, ibans[0]), (3, ibans[1]), (4, card)))
+    assert [got[i].text.rsplit(" ", 1)[1] for i in range(4)] == ["12/27", "123", "BIC", "EUR"] and got[4].text.startswith("no 12 4")
+    assert got[6].text == texts[6] and got[6].n_iban == 0
+    assert (got[5].text, got[5].n_card) == (texts[5], 0)
+
+
 def test_toxicity(spark, empty):
     rnd = random.Random(1)
     calm, mean = ["tree", "river", "stone", "cloud", "paper"], ["idiot", "moron", "blergish"]
