@@ -141,6 +141,25 @@ def sample_survivors(spark, sf_dir):
     return rows.join(rows.groupBy("size", "sample").agg(F.count("*").alias("n")).where("n >= 2").drop("n"), ["size", "sample"]).select("doc_id")
 
 
+_BYTES = "f AS (SELECT doc_id, strlen(text) AS size, sha256(unhex(left(hex(encode(text)), 131072) || right(hex(encode(text)), 131072))) AS sample FROM documents)"
+
+
+def _all_samples(spark, sf_dir):
+    d = derived.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.octet_length("text").alias("size"), dupes.sample_digest(F.encode("text", "UTF-8")).alias("sample"))
+
+
+@query("file_sample_digest_all", _q("SELECT doc_id, sample FROM f", _BYTES))
+def file_sample_digest_all(spark, sf_dir):
+    return _all_samples(spark, sf_dir).select("doc_id", "sample")
+
+
+@query("sample_survivors_all", _q("SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY size, sample) AS n FROM f) WHERE n >= 2", _BYTES))
+def sample_survivors_all(spark, sf_dir):
+    rows = _all_samples(spark, sf_dir)
+    return rows.join(rows.groupBy("size", "sample").agg(F.count("*").alias("n")).where("n >= 2").drop("n"), ["size", "sample"]).select("doc_id")
+
+
 @query(
     "dupes_stats",
     _q(

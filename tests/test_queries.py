@@ -1,5 +1,7 @@
 """Core queries against their oracles on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -32,3 +34,18 @@ def test_oracle(spark, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(C.QUERIES) == set(C.ORACLES)
+
+
+def test_samples_of_all_texts(spark, duck, tmp_path):
+    """Texts beyond ASCII and beyond twice the sample: query, oracle and plain Python agree."""
+    long = "abcdé" * 40_000
+    texts = ["", "plain", "ünïcode", "ünïcode", long, long, long[:110_000] + "X" + long[110_001:], "é" * 32_768 + "z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    raw = [t.encode() for t in texts]
+    digest = [hashlib.sha256(b[:65536] + b[-65536:]).hexdigest() for b in raw]
+    want = {"file_sample_digest_all": sorted(enumerate(digest)), "sample_survivors_all": [(i,) for i in range(len(raw)) if [(len(b), d) for b, d in zip(raw, digest)].count((len(raw[i]), digest[i])) > 1]}
+    for name, rows in want.items():
+        assert sorted(map(tuple, C.QUERIES[name](spark, str(tmp_path)).collect())) == rows == sorted(con.sql(C.ORACLES[name]).fetchall())
+    assert want["sample_survivors_all"] == [(2,), (3,), (4,), (5,), (6,)]
