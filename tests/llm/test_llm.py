@@ -299,12 +299,9 @@ def test_line_dedup(spark, empty):
         return sum(1 << j for j in range(63) if 2 * sum(h >> j & 1 for h in hs) > len(hs))
 
     forms = [sentence(n) for n in (3, 100, 255, 256, 700)]
-    lines = line_dedup.lines_of(spark.createDataFrame([(i, i, t) for i, t in enumerate(forms)], "doc_id long, text_hash long, text string"))
-    assert {r.doc_id: r.simhash for r in lines.collect()} == {i: plain(t.split(" ")) for i, t in enumerate(forms)}
-    again = line_dedup.lines_of(spark.createDataFrame([(1, 1, forms[3])] * 9, "doc_id long, text_hash long, text string")).collect()
-    assert {(r.simhash, r.n_words) for r in again} == {(plain(forms[3].split(" ")), 256)} and len(again) == 9
-    near = [bin(plain(long.split(" ")) ^ plain(fuzzy)).count("1") <= line_dedup.DISTANCE]
-    assert (got[5].text == "") == near[0]
+    table = spark.createDataFrame([(i, len(t.split(" ")), t) for i, t in enumerate(forms)], "node long, n_words int, form string")
+    assert {r.node: r.simhash for r in line_dedup.simhashes(table).collect()} == {i: plain(t.split(" ")) for i, t in enumerate(forms)}
+    assert bin(plain(long.split(" ")) ^ plain(fuzzy)).count("1") <= line_dedup.DISTANCE and got[5].text == ""
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -320,9 +317,62 @@ def test_line_dedup(spark, empty):
         a = [RND.choice("pqrst") for _ in range(RND.randrange(1, 14))]
         b = [x for x in a if RND.random() > 0.1] + (["z"] if RND.random() < 0.3 else [])
         pairs.append((" ".join(a), " ".join(b or ["z"])))
-    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.similar(F.col("a"), F.col("b")).alias("s")).collect():
-        a, b = r.a.split(" "), r.b.split(" ")
-        assert r.s == (1 - distance(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9)
+    form = {2 * k + i: f for k, pair in enumerate(pairs) for i, f in enumerate(pair)}
+    told = spark.createDataFrame([(n, len(f.split(" ")), f) for n, f in form.items()], "node long, n_words int, form string")
+    told = told.select("node", "n_words", line_dedup.coded(F.col("form")).alias("c1"), line_dedup.coded(F.col("form"), F.hash).alias("c2"))
+    ids = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(pairs))], "a long, b long")
+    found = {r.a for r in line_dedup.links_of(ids, told).collect()}
+    for k in range(len(pairs)):
+        a, b = form[2 * k].split(" "), form[2 * k + 1].split(" ")
+        assert (2 * k in found) == (1 - distance(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9)
+
+
+def plain_groups(rows, similarity=0.8):
+    """The removed lines of rows (id, text) by comparing all forms with all, edit distance by words; also the number of similar pairs."""
+    first, at = {}, collections.defaultdict(list)
+    for i, t in sorted(rows):
+        for k, line in enumerate(re.sub(r"[!-/:-@\[-`{-~ \t\x0b\f\r]+", " ", t.lower()).split("\n")):
+            form = tuple(line.strip(" ").split(" "))
+            if len(form) >= 3:
+                first.setdefault(form, (i, k))
+                at[form].append((i, k))
+    forms = list(first)
+    code = {w: k for k, w in enumerate({w for f in forms for w in f})}
+    coded = [np.array([code[w] for w in f]) for f in forms]
+    counts = [collections.Counter(f) for f in forms]
+    root, n_pairs = list(range(len(forms))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(forms)):
+        for y in range(x):
+            long, short = max(len(forms[x]), len(forms[y])), min(len(forms[x]), len(forms[y]))
+            most = int((1 - similarity) * long + 1e-9)
+            if long - short > most or sum((counts[x] & counts[y]).values()) < long - most:
+                continue
+            row = np.arange(len(forms[y]) + 1)
+            for k, w in enumerate(coded[x], 1):
+                new = np.minimum(row[1:] + 1, row[:-1] + (coded[y] != w))
+                new = np.concatenate([[k], new])
+                row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+            if row[-1] <= most:
+                n_pairs += 1
+                root[find(x)] = find(y)
+    start = {}
+    for x, f in enumerate(forms):
+        start[find(x)] = min(start.get(find(x), first[f]), first[f])
+    return {p for x, f in enumerate(forms) for p in at[f] if p != start[find(x)]}, n_pairs
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """The whole small table: lines removed are those that comparing all with all removes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want, n_pairs = plain_groups([tuple(r) for r in docs.where("text is not null").collect()])
+    got = {(r.doc_id, k) for r in line_dedup.line_dedup(docs).collect() for k in r.removed}
+    assert n_pairs >= 10 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
 def test_line_dedup_finds_all_similar(spark):
