@@ -9,11 +9,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Frees the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="boscage-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
@@ -22,7 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/boscage-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df once to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing.
+
+    What the write shuffled is freed with it. The table stays until the application clears the folder; release() removes one early.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/boscage-{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._boscage_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a table of materialize(). Only for tables that no later plan reads."""
+    path = getattr(df, "_boscage_path", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
