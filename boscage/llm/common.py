@@ -2,52 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boscage.sources.shared import materialize, release, shared_dir
+
+__all__ = ["bounded", "documents", "let", "materialize", "release", "shared_dir", "slices", "words_of"]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="boscage-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        base = f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing.
-
-    The table stays until the application clears the folder; release() removes one early.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/boscage-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._boscage_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Deletes a table of materialize(). Only for tables that no later plan reads."""
-    path = getattr(df, "_boscage_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often body (or a lambda in it) uses it."""
     return F.transform(F.array(value), body)[0]
