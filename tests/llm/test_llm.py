@@ -319,7 +319,7 @@ def test_line_dedup(spark, empty):
         pairs.append((" ".join(a), " ".join(b or ["z"])))
     form = {2 * k + i: f for k, pair in enumerate(pairs) for i, f in enumerate(pair)}
     told = spark.createDataFrame([(n, len(f.split(" ")), f) for n, f in form.items()], "node long, n_words int, form string")
-    told = told.select("node", "n_words", line_dedup.coded(F.col("form")).alias("c1"), line_dedup.coded(F.col("form"), F.hash).alias("c2"))
+    told = told.select("node", "n_words", *line_dedup.coded(F.col("form")))
     ids = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(pairs))], "a long, b long")
     found = {r.a for r in line_dedup.links_of(ids, told).collect()}
     for k in range(len(pairs)):
