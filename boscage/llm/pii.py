@@ -205,6 +205,22 @@ def pseudonym_within(m: Column, key: str) -> Column:
     return let(valid_part(m), lambda p: let(pseudonym(p["part"], key), lambda x: F.struct(x["kind"].alias("kind"), F.concat(p["before"], x["value"], p["after"]).alias("value"))))
 
 
+#: Valid areas (001 to 899 but 666), groups and serials.
+_AREAS, _GROUPS, _SERIALS = 898, 99, 9999
+
+
+def new_ssn(groups: Column, key: str) -> Column:
+    """The pseudonym of a valid number, given as its three groups: a permutation of exactly the valid ones."""
+    area, group, serial = (groups[i].cast("int") for i in range(3))
+    place = F.when(area > 666, area - 2).otherwise(area - 1)
+
+    def written(st):
+        place = F.floor(st["a"] / _GROUPS)
+        return F.concat_ws("-", F.lpad((place + F.when(place >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((st["a"] % _GROUPS + 1).cast("string"), 2, "0"), F.lpad((st["b"] + 1).cast("string"), 4, "0"))
+
+    return let(feistel_pair(place * _GROUPS + group - 1, serial - 1, _AREAS * _GROUPS, _SERIALS, key, "ssn"), written)
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, value) for one match of PATTERN; kind is null and value the match itself where validation fails."""
     digits = F.regexp_replace(m, r"\D", "")
@@ -227,7 +243,7 @@ def pseudonym(m: Column, key: str) -> Column:
     national = n - prefix
     # Country code, first digit of area and exchange stay.
     phone = chars(lambda c: F.transform(c, lambda x, i: _is_digit(x) & (rank(c, i) > prefix) & ~((national == 10) & (rank(c, i) - prefix).isin(1, 4))), "phone")
-    ssn = chars(lambda c: F.transform(c, lambda x, i: _is_digit(x) & ~rank(c, i).isin(1, 4, 6)), "ssn")
+    ssn = let(F.split(m, "-"), lambda g: new_ssn(g, key))
 
     body = chars(lambda c: F.transform(c, lambda x, i: _is_digit(x) & (rank(c, i) > 1) & (rank(c, i) < n)), "card")
     card = let(body, lambda b: F.concat(F.substring(b, F.lit(1), F.length(b) - 1), let(luhn_sum(F.concat(F.substring(F.regexp_replace(b, r"\D", ""), F.lit(1), n - 1), F.lit("0"))), lambda s: ((10 - s % 10) % 10).cast("string"))))
