@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from boscage.llm.common import let, words_of
 
-#: Positions take this many low bits of a packed window; the rest holds its hash.
+#: Positions take this many low bits of a packed window; the rest holds its hash. Longer texts are not packed.
 POSITION_BITS = 24
 
 
@@ -59,36 +59,39 @@ def repeat_words(words: Column) -> Column:
     """Words in 3-word windows that occur at least twice in the array, first occurrences included.
 
     Windows are packed as hash-and-position longs and sorted as primitives; neighbours with equal hash bits are
-    confirmed by the full 64-bit hashes of their words.
+    confirmed by the full 64-bit hashes of their words. Texts whose positions need more bits, and texts in which different windows share
+    the packed bits (which could stand between equal ones), are sorted by the full hashes.
     """
     mask = (1 << POSITION_BITS) - 1
+    windows = lambda w, f: F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: f(F.xxhash64(x, w[i + 1], w[i + 2]), i))
+    at = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+    full = lambda w, x: F.xxhash64(w[at(x)], w[at(x) + 1], w[at(x) + 2])
+    same_bits = lambda a, b: F.shiftright(a, POSITION_BITS) == F.shiftright(b, POSITION_BITS)
 
-    def full(w, i):
-        return F.xxhash64(w[i], w[i + 1], w[i + 2])
+    def repeated(p, same):
+        return F.filter(p, lambda x, i: ((i > 0) & same(x, F.get(p, i - 1))) | ((i < F.size(p) - 1) & same(x, F.get(p, i + 1))))
 
-    def of(w):
-        # The second argument of the lambda counts from 0, as array subscripts do.
-        packed = F.sort_array(
-            F.transform(
-                F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, w[i + 1], w[i + 2]).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))
-            )
-        )
-        return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(packed, lambda p: covered(w, p)))
-
-    def covered(w, p):
-        def same(a, b):
-            at = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
-            return (F.shiftright(a, POSITION_BITS) == F.shiftright(b, POSITION_BITS)) & (full(w, at(a)) == full(w, at(b)))
-
-        twice = F.filter(p, lambda x, i: ((i > 0) & same(x, F.get(p, i - 1))) | ((i < F.size(p) - 1) & same(x, F.get(p, i + 1))))
+    def covered(positions):
         return let(
-            F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.lit(mask)).cast("int"))),
+            F.sort_array(positions),
             lambda s: F.when(F.size(s) == 0, F.lit(0)).otherwise(
                 F.lit(3) + F.aggregate(F.sequence(F.lit(1), F.size(s)), F.lit(0), lambda n, i: n + F.when(i < F.size(s), F.least(F.lit(3), F.get(s, i) - F.get(s, i - 1))).otherwise(0))
             ),
         )
 
-    return let(words, of)
+    def exact(w):
+        pairs = F.sort_array(windows(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(pairs, lambda p: covered(F.transform(repeated(p, lambda a, b: a["h"] == b["h"]), lambda x: x["i"])))
+
+    def packed(w):
+        def told(p):
+            met = repeated(p, same_bits)
+            clash = lambda m: F.size(F.filter(m, lambda x, i: F.when((i > 0) & same_bits(x, F.get(m, i - 1)), full(w, x) != full(w, F.get(m, i - 1))).otherwise(False))) > 0
+            return let(met, lambda m: F.when(clash(m), exact(w)).otherwise(covered(F.transform(m, at))))
+
+        return let(F.sort_array(windows(w, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))), told)
+
+    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).when(F.size(w) > mask, exact(w)).otherwise(packed(w)))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
