@@ -327,6 +327,20 @@ def test_line_dedup(spark, empty):
         assert (2 * k in found) == (1 - distance(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9)
 
 
+def test_repeat_words_whatever_the_packing(spark, monkeypatch):
+    """Positions beyond the packed bits, and different windows with the same packed hash bits, change nothing."""
+    texts = ["", "a b c", " ".join(RND.choice("pqrs") for _ in range(60)), sentence(300, 6), sentence(50), "x " * 40]
+
+    def plain(ws):
+        seen = collections.Counter(zip(ws, ws[1:], ws[2:]))
+        return len({i + k for i, t in enumerate(zip(ws, ws[1:], ws[2:])) if seen[t] > 1 for k in range(3)})
+
+    for bits in (24, 4, 60):
+        monkeypatch.setattr(quality, "POSITION_BITS", bits)
+        table = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", quality.repeat_words(common.words_of(F.col("t"))).alias("n"))
+        assert {r.i: r.n for r in table.collect()} == {i: plain(words(t)) for i, t in enumerate(texts)}
+
+
 def plain_groups(rows, similarity=0.8):
     """The removed lines of rows (id, text) by comparing all forms with all, edit distance by words; also the number of similar pairs."""
     first, at = {}, collections.defaultdict(list)
@@ -423,6 +437,19 @@ def test_mixing(spark, docs, rows, empty):
         mixing.mix(docs.withColumn("size", F.lit(1)), keep=["size"])
 
 
+def test_mixed_texts_by_source_and_row(spark):
+    """A document under two sources, and rows that differ in another column only, are written as often as the mix takes each."""
+    rows = [(1, "a b c d", "s0", "x"), (1, "a b c d", "s1", "x"), (2, "e f g", "s0", "x"), (2, "e f g", "s0", "y"), (3, "h i", None, None), (3, "h i", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    want, got = collections.Counter(), collections.Counter()
+    for r in mixing.mix(docs.withColumnRenamed("size", "extra"), keep=["extra"]).collect():
+        want[r.doc_id, r.source, r.extra] += r.taken
+    mixed = mixing.mixed_texts(docs.withColumnRenamed("size", "extra"))
+    for r in mixed.collect():
+        got[r.doc_id, r.source, r.extra] += len(words(r.text))
+    assert +want == +got
+
+
 def test_mixing_of_small_sources(spark, monkeypatch):
     """Every source ends at its target, also where blocks of the large ones are larger than it."""
     monkeypatch.setattr(mixing, "SLOTS", 64)
@@ -462,6 +489,16 @@ def test_pii(spark, empty):
     assert out.distinct().count() == 3000 and out.where(~F.col("v").rlike("^[0-9]{4}$")).count() == 0
 
 
+def test_pii_numbers_stay_valid(spark):
+    """Pseudonyms of social security numbers are valid again, and no two numbers share one."""
+    rnd = random.Random(3)
+    valid = lambda t: re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", t)
+    numbers = {f"{a:03d}-{rnd.randrange(1, 10):02d}-{rnd.randrange(1, 10000):04d}" for a in [*range(1, 100), *range(600, 700), *range(880, 900)] for _ in range(8)}
+    numbers = sorted(n for n in numbers if valid(n)) + ["001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999"]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert all(map(valid, got)) and len(set(got)) == len(set(numbers)) and sum(a == b for a, b in zip(got, numbers)) <= 2
+
+
 def test_pii_with_other_groups_around(spark):
     """Cards before or after other digits, and IBANs before upper-case words."""
     card, ibans = "4111 1111 1111 1111", ["ES9121000418450200051332", "SE45 5000 0000 0583 9825 7466"]
