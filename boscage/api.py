@@ -22,13 +22,17 @@ def _check(flags: dict[str, bool], together: str) -> None:
 
 
 def prepared(nodes: DataFrame, include_hidden: bool = False, root_parts: int = 1, repo_roots: DataFrame | None = None) -> DataFrame:
-    """A catalog with shared storage, totals, zones and digests of files, links and folders."""
+    """A catalog with shared storage, totals, zones and digests of files, links and folders; contents, if there are any, end here.
+
+    Files have content_digest (see sources.local.read_digests) or content.
+    """
+    ok = ~(F.col("unreadable") | F.col("pruned") | F.col("dataless"))
+    file = F.col("content_digest") if "content_digest" in nodes.columns else dupe_ops.file_digest(F.col("content"), F.when(F.col("resource_fork"), F.col("fork")))
+    leaf = F.when((F.col("kind") == "file") & ok, file).when(F.col("kind") == "symlink", dupe_ops.link_digest(F.col("link_target")))
+    nodes = nodes.withColumn("digest", leaf).drop("content", "fork", "content_digest")
     # Each step reads its catalog several times over, so each is written once.
     rows = materialize(tree.with_totals(tree.with_shared_extra(nodes), root_parts), "totals")
-    rows = dupe_ops.zones(rows, include_hidden, root_parts, repo_roots)
-    ok = ~(F.col("unreadable") | F.col("pruned") | F.col("dataless"))
-    leaf = F.when((F.col("kind") == "file") & ok, dupe_ops.file_digest(F.col("content"), F.when(F.col("resource_fork"), F.col("fork")))).when(F.col("kind") == "symlink", dupe_ops.link_digest(F.col("link_target")))
-    rows = materialize(rows.withColumn("digest", leaf), "zones")
+    rows = materialize(dupe_ops.zones(rows, include_hidden, root_parts, repo_roots), "zones")
     folders = dupe_ops.folder_digest(rows, root_parts).withColumnRenamed("digest", "_folder")
     return rows.join(folders, ["root_ord", "path"], "left").withColumn("digest", F.coalesce("digest", F.when(~F.col("incomplete"), F.col("_folder")))).drop("_folder")
 
@@ -41,8 +45,10 @@ def dupe_members(
     _check({"files_only": files_only, "folders_only": folders_only}, "exclude each other")
     containers = [home, f"{home}/Downloads", f"{home}/Desktop", f"{home}/Documents"] if containers is None else containers
     rows = tree.without_pruned(exclude_ops.apply(complete(nodes) if "path_parts" not in nodes.columns else nodes, home, excludes), root_parts)
-    # Contents have done their work once digests exist.
-    rows = materialize(prepared(rows, hidden, root_parts, repo_roots).drop("content", "fork"), "prepared")
+    # Build output is one opaque thing, never copies to remove.
+    matches = materialize(junk_ops.artifact_matches(rows.drop("content", "fork"), junk_ops.artifact_rules(rows.sparkSession), home), "matches")
+    rows = junk_ops.tagged(rows, matches)
+    rows = materialize(prepared(rows, hidden, root_parts, repo_roots), "prepared")
     found = materialize(dupe_ops.members(rows, min_size, not folders_only, not files_only), "members")
     held = materialize(dupe_ops.holds(found, rows, containers, root_parts), "held")
     ranked = materialize(dupe_ops.ranked(held, home, keep, prefer), "ranked")

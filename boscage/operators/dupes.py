@@ -59,10 +59,10 @@ def zones(nodes: DataFrame, include_hidden: bool = False, root_parts: int = 1, r
     above = F.when(F.size("path_parts") > root_parts + 1, F.slice("path_parts", root_parts + 1, F.size("path_parts") - root_parts - 1)).otherwise(F.array().cast("array<string>"))
     named = F.exists(above, lambda n: opaque_name(n) | is_bundle(n))
     # Of the ancestors, those with a tag and those with a .git beside: one exploded pass.
-    marks = nodes.where("kind = 'dir' and rule_ord is not null").select(F.col("path_parts").alias("_up"), F.lit(True).alias("tag"), F.lit(False).alias("git"))
-    marks = marks.unionByName(nodes.where("name = '.git'").select(paths.parts(F.col("parent_path")).alias("_up"), F.lit(False).alias("tag"), F.lit(True).alias("git")))
-    marks = marks.groupBy("_up").agg(F.bool_or("tag").alias("tag"), F.bool_or("git").alias("git"))
-    up = nodes.select("root_ord", "path", F.explode(paths.prefixes(F.col("path_parts"), root_parts)).alias("_up")).join(marks, "_up").groupBy("root_ord", "path").agg(F.bool_or("tag").alias("_tag"), F.bool_or("git").alias("_git"))
+    marks = nodes.where("kind = 'dir' and rule_ord is not null").select("root_ord", F.col("path_parts").alias("_up"), F.lit(True).alias("tag"), F.lit(False).alias("git"))
+    marks = marks.unionByName(nodes.where("name = '.git'").select("root_ord", paths.parts(F.col("parent_path")).alias("_up"), F.lit(False).alias("tag"), F.lit(True).alias("git")))
+    marks = marks.groupBy("root_ord", "_up").agg(F.bool_or("tag").alias("tag"), F.bool_or("git").alias("git"))
+    up = nodes.select("root_ord", "path", F.explode(paths.prefixes(F.col("path_parts"), root_parts)).alias("_up")).join(marks, ["root_ord", "_up"]).groupBy("root_ord", "path").agg(F.bool_or("tag").alias("_tag"), F.bool_or("git").alias("_git"))
     own_git = marks.where("git").select(F.col("_up").alias("_own"), F.lit(True).alias("_has"))
     rows = nodes.join(up, ["root_ord", "path"], "left").join(own_git, F.col("path_parts") == F.col("_own"), "left").drop("_own")
     if repo_roots is not None:

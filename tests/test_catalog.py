@@ -246,3 +246,36 @@ def test_normalize(tmp_path):
 def test_junk_helpers(spark):
     assert junk.known_locations(spark, HOME).count() == 44
     assert junk.artifact_rules(spark).count() == 27
+
+
+def test_duplicates_of_scanned_folders(spark, tmp_path):
+    """A made folder is scanned, only files that can have copies are read, and groups are those of its contents."""
+    from boscage.sources import local
+
+    top = tmp_path / "top"
+    big = content(5, 600_000)
+    other = big[:300_000] + b"x" + big[300_001:]
+    made = {"A/one.txt": b"same", "B/one.txt": b"same", "A/big": big, "B/big": big, "C/big": other, "C/alone": b"alone here", "A/target/x.o": b"o" * 50, "A/Cargo.toml": b"[p]", "B/target/x.o": b"o" * 50, "B/Cargo.toml": b"[p]", "C/empty": b""}
+    for path, data in made.items():
+        (top / path).parent.mkdir(parents=True, exist_ok=True)
+        (top / path).write_bytes(data)
+    (top / "link").symlink_to(top / "A")
+    spark.dataSource.register(local.LocalTree)
+    scan = lambda root, **o: complete(spark.read.format("local_tree").options(path=root, **o).load())
+    nodes = local.read_digests(scan(str(top)))
+    digests = {r.path.removeprefix(f"{top}/"): r.content_digest for r in nodes.where("kind = 'file'").collect()}
+    assert digests["A/big"] == digests["B/big"] and digests["A/one.txt"] == digests["B/one.txt"] and digests["C/big"] != digests["A/big"] and digests["C/alone"].startswith("alone")
+    found, _ = api.dupe_members(nodes, str(tmp_path), min_size=1, root_parts=len(str(top).strip("/").split("/")))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r["digest"], set()).add(r["path"].removeprefix(f"{top}/"))
+    assert sorted(map(sorted, groups.values())) == [["A", "B"]]
+    # Deeper partitions give the same rows and enter no link; missing roots are error rows.
+    flat = lambda df: sorted(r.path for r in df.collect())
+    assert flat(scan(str(top), sharddepth="3")) == flat(scan(str(top))) and not any("/link/" in p for p in flat(nodes))
+    assert [(r.path, r.unreadable) for r in scan("/no/such/root").collect()] == [("/no/such/root", True)]
+    # A file that changed after the scan is unreadable, not a copy.
+    seen = spark.createDataFrame(scan(str(top)).collect(), scan(str(top)).schema)
+    (top / "A/one.txt").write_bytes(b"sama!")
+    late = {r.path.removeprefix(f"{top}/"): r for r in local.read_digests(seen).collect()}
+    assert late["A/one.txt"].unreadable and late["A/one.txt"].content_digest is None and not late["B/one.txt"].unreadable
