@@ -2,10 +2,12 @@
 
 1. Every text becomes the set of its word 5-grams, a MinHash signature and a label in each trie of the forest. Texts with
    equal words are one class, represented once from here on.
-2. A trie's labels are the signature's values in order; texts meet where a prefix of their labels agrees. The prefixes start at full depth and
-   are shortened until a pair at the threshold meets in some trie with the target recall (depth()).
-3. Where classes meet, their whole signatures are compared; those that agree well enough are joined to candidate clusters.
-   Places where the same classes meet as in an earlier trie are skipped.
+2. A trie's label is DEPTH values of the signature in order. Each trie is a table sorted by label, without the labels that share no prefix of
+   the shortest length that can be needed. Texts meet in a place, where a prefix of their labels agrees.
+3. Prefixes start at full depth and are shortened by one value a level. On a level only places that hold texts of different candidate clusters
+   are open, and there only texts of different clusters are compared, by sketches of their signatures; those that agree well enough join their
+   clusters. Places where the same classes meet as in an earlier trie are skipped. Shortening ends where no place is open, or where a
+   pair at the threshold meets in some trie with the target recall (depth()).
 4. Within a cluster all pairs are verified on the exact sets of 5-grams: links are counted and linked texts become groups.
 
 Pairs are never rows: a task returns for each class its number of links and one edge of a spanning forest. Places and clusters
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boscage.llm.common import materialize, slices
+from boscage.llm.common import materialize, release, slices
 from boscage.llm.components import components
 from boscage.llm.substring_dedup import Words, mix
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.9995
 TRIES, DEPTH = 15, 8
-#: Values of the signature compared in step 3, and how far below the threshold their agreement may be.
-SKETCH, SLACK = 60, 0.25
+#: Values of a label that are compared in step 3, its last ones, and how far below the threshold their agreement may be.
+TOLD, SLACK = 4, 0.25
+#: Bytes of a value in a label.
+VALUE = 2
 #: Classes of one block, and rows of small groups that one task takes together.
 BLOCK, TOGETHER = 384, 4000
 
@@ -85,30 +89,25 @@ def signatures(hashes: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _sign(gram: int, tries: int, d: int, id_type):
-    size = max(SKETCH, tries * d)
-    factors = _keys(d, 2) | np.uint64(1)
-    salts = _keys(tries, 3)
-
+def _sign(gram: int, tries: int, deepest: int):
     def run(batches):
         for b in slices(batches, 1, 1_500_000):
             words = Words(b.column(1))
             keys = [sequence_keys(words, seed) for seed in (5, 6)]
             hashes, n = gram_hashes(words, gram)
             some = np.flatnonzero(n)
-            prefixes: list = [None] * len(n)
+            labels: list = [None] * len(n)
             sketches: list = [None] * len(n)
             if len(some):
-                values = signatures(hashes, n[some], size)
+                values = signatures(hashes, n[some], tries * deepest)
                 for start in range(0, len(some), 4096):
-                    v = values[start : start + 4096].astype(np.uint64)
-                    labels = v[:, : tries * d].reshape(len(v), tries, d)
-                    prefix = mix((labels * factors).sum(2, dtype=np.uint64) + salts).view(np.int64)
-                    sketch = (mix(v[:, :SKETCH]) & np.uint64(255)).astype(np.uint8)
-                    for i, p, s in zip(some[start : start + 4096], prefix.tolist(), sketch):
-                        prefixes[i], sketches[i] = p, s.tobytes()
+                    v = mix(values[start : start + 4096].astype(np.uint64)).reshape(-1, tries, deepest)
+                    label = (v >> np.uint64(48)).astype(">u2")
+                    sketch = (v[:, :, -TOLD:] & np.uint64(255)).astype(np.uint8)
+                    for i, p, s in zip(some[start : start + 4096], label, sketch):
+                        labels[i], sketches[i] = p.tobytes(), s.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys[0]), pa.array(keys[1]), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), b.column(2)], names=["doc_id", "k1", "k2", "prefixes", "sketch", "text_hash"]
+                [b.column(0), pa.array(keys[0]), pa.array(keys[1]), pa.array(labels, pa.binary()), pa.array(sketches, pa.binary()), b.column(2)], names=["doc_id", "k1", "k2", "labels", "sketch", "text_hash"]
             )
 
     return run
@@ -144,19 +143,29 @@ def _allowed(block: np.ndarray, i: int, j: int) -> np.ndarray:
 
 
 def _meet(least: float):
-    """Units of places in tries: an edge of a spanning forest for every class whose sketch agrees with another's."""
+    """Units of open places: an edge of a spanning forest for every class whose sketch agrees with that of a class of another cluster.
+
+    The classes of all clusters but the largest are compared with all.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        nodes, blocks = t["node"].to_numpy(), t["block"].to_numpy()
+        nodes, blocks, clusters = (t[c].to_numpy() for c in ("node", "block", "cluster"))
         blobs = t["sketch"].to_pylist()
         a, b = [], []
         for rows, i, j in _units(t):
+            own, cluster = nodes[rows], clusters[rows]
+            _, code, count = np.unique(cluster, return_inverse=True, return_counts=True)
+            minor = np.flatnonzero(code != count.argmax())
+            if not len(minor):
+                continue
             s = np.frombuffer(b"".join(blobs[r] for r in rows), np.uint8).reshape(len(rows), -1)
-            agree = np.zeros((len(rows), len(rows)), np.uint8)
+            agree = np.zeros((len(minor), len(rows)), np.uint8)
             for c in range(s.shape[1]):
-                agree += s[:, c][:, None] == s[:, c][None, :]
-            root = _forest((agree >= least * s.shape[1]) & _allowed(blocks[rows], i, j))
-            own = nodes[rows]
+                agree += s[minor, c][:, None] == s[:, c][None, :]
+            links = np.zeros((len(rows), len(rows)), bool)
+            links[minor] = (agree >= least * s.shape[1]) & (code[minor][:, None] != code[None, :])
+            links = (links | links.T) & _allowed(blocks[rows], i, j)
+            root = _forest(links)
             moved = root != np.arange(len(root))
             a.append(own[moved])
             b.append(own[root[moved]])
@@ -240,23 +249,63 @@ def _confirmed(gram: int):
     return run
 
 
+def sorted_tries(classes: DataFrame, shortest: int, tries: int = TRIES, deepest: int = DEPTH) -> DataFrame:
+    """(trie, label, node) in order of tries and labels, for labels that share their first values, so many as shortest, of classes (node, labels)."""
+    rows = classes.where("labels is not null").select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("trie"))
+    rows = rows.select("trie", F.substring("labels", F.col("trie") * VALUE * deepest + 1, F.lit(VALUE * deepest)).alias("label"), "node")
+    rows = rows.withColumn("prefix", F.substring("label", 1, VALUE * shortest))
+    shared = rows.groupBy("trie", "prefix").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(shared, ["trie", "prefix"]).drop("prefix").repartitionByRange("trie", "label", "node").sortWithinPartitions("trie", "label")
+
+
+def open_places(rows: DataFrame, length: int, clusters: DataFrame | None) -> DataFrame:
+    """(node, cluster, root, n) of the places of one prefix length that hold classes of several clusters; a class in no cluster is its own.
+
+    Of places with the same classes the first one is taken.
+    """
+    at = rows.select("trie", F.substring("label", 1, VALUE * length).alias("prefix"), "node")
+    met = at.groupBy("trie", "prefix").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "node"), 20)).alias("s")).where("n > 1")
+    fresh = met.groupBy("n", "x", "s").agg(F.min(F.struct("trie", "prefix")).alias("first")).select("first.*", "n")
+    held = at.join(fresh, ["trie", "prefix"]).select("node", F.xxhash64("trie", "prefix").alias("root"), "n")
+    if clusters is None:
+        return held.withColumn("cluster", F.col("node"))
+    held = held.join(clusters.withColumnRenamed("root", "cluster"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    several = held.groupBy("root").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("root")
+    return held.join(several, "root")
+
+
+def candidate_clusters(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(node, root) of classes (node, labels, sketch) that the forest joins, prefixes shortened from DEPTH on."""
+    shortest = depth(threshold, TRIES, DEPTH, recall)
+    rows = materialize(sorted_tries(classes, shortest), "tries")
+    clusters = None
+    for length in range(DEPTH, shortest - 1, -1):
+        held = materialize(open_places(rows, length, clusters), "open")
+        n = held.count()
+        if n:
+            places = held.select("root", "n").distinct()
+            dealt = _dealt(held.drop("n"), places, ["root"], F.col("root")).select("node", "cluster", "root", "blocks", "block", "i", "j")
+            dealt = _dispatch(dealt, n).join(classes.select("node", "sketch"), "node")
+            edges = dealt.groupBy("unit").applyInArrow(_meet(threshold - SLACK), "a long, b long")
+            if clusters is not None:
+                edges = edges.unionByName(clusters.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            before, clusters = clusters, materialize(components(edges), "clusters")
+            if before is not None:
+                release(before)
+        release(held)
+    release(rows)
+    return clusters if clusters is not None else classes.where(F.lit(False)).select("node", F.col("node").alias("root"))
+
+
 def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """near_duplicates() with two columns more: text_hash, and group, which names a linked group whatever its ids."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    d = depth(threshold, TRIES, DEPTH, recall)
-    signed = materialize(rows.mapInArrow(_sign(gram, TRIES, d, id_type), f"doc_id {id_type}, k1 long, k2 long, prefixes array<long>, sketch binary, text_hash long"), "signed")
+    signed = materialize(rows.mapInArrow(_sign(gram, TRIES, DEPTH), f"doc_id {id_type}, k1 long, k2 long, labels binary, sketch binary, text_hash long"), "signed")
     # One row for each word sequence. The first hash names it from here on.
-    classes = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"))
+    classes = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumnRenamed("k1", "node"), "classes")
-    # Places where classes meet.
-    places = classes.where("prefixes is not null").select("node", F.posexplode("prefixes").alias("trie", "prefix"))
-    met = places.groupBy("trie", "prefix").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "node"), 20)).alias("s")).where("n > 1")
-    fresh = met.groupBy("n", "x", "s").agg(F.min(F.struct("trie", "prefix")).alias("first")).select("first.*", "n")
-    dealt = materialize(_dealt(places, fresh, ["trie", "prefix"], F.xxhash64("trie", "prefix")).select("node", "root", "blocks", "block", "i", "j"), "met")
-    dealt = _dispatch(dealt, dealt.count()).join(classes.select("node", "sketch"), "node")
-    edges = dealt.groupBy("unit").applyInArrow(_meet(threshold - SLACK), "a long, b long")
-    clusters = materialize(components(edges), "clusters")
+    clusters = candidate_clusters(classes, threshold, recall)
     # Exact sets of the texts in clusters; ids find the texts, hashes confirm them.
     wanted = clusters.join(classes.select("node", "k2", "copy_of"), "node").select("node", "root", "copy_of")
     found = rows.join(wanted.select("node", "copy_of"), F.col("doc_id").eqNullSafe(F.col("copy_of"))).select("node", "text")

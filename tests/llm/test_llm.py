@@ -255,6 +255,28 @@ def test_ngram_jaccard(spark, docs, rows, empty, monkeypatch):
     assert jaccard.depth() == 4 and jaccard.depth(recall=0.9) > 4
 
 
+def test_forest(spark):
+    """Tries and open places against plain ones: labels of 15 tries with few different values, so that prefixes of every length are shared."""
+    label = [[[RND.randrange(3) for _ in range(jaccard.DEPTH)] for _ in range(jaccard.TRIES)] for _ in range(40)]
+    label[7], label[8] = label[5], label[6]
+    blob = [b"".join(v.to_bytes(jaccard.VALUE, "big") for trie in x for v in trie) for x in label]
+    classes = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(blob)] + [(99, None)], "node long, labels binary")
+    at = lambda x, t, n: tuple(x[t][:n])
+    tries = jaccard.sorted_tries(classes, 4).cache()
+    places = {n: {k: {i for i, x in enumerate(label) if at(x, *k[:1], n) == k[1]} for k in {(t, at(x, t, n)) for x in label for t in range(jaccard.TRIES)}} for n in range(4, jaccard.DEPTH + 1)}
+    assert {(r.trie, r.node) for r in tries.collect()} == {(k[0], i) for k, v in places[4].items() if len(v) > 1 for i in v}
+    group = {i: i - i % 4 for i in range(30)}
+    clusters = spark.createDataFrame(list(group.items()), "node long, root long")
+    for n in (4, 6, jaccard.DEPTH):
+        for known, told in (({}, None), (group, clusters)):
+            got = collections.defaultdict(set)
+            for r in jaccard.open_places(tries, n, told).collect():
+                got[r.root].add(r.node)
+                assert r.cluster == known.get(r.node, r.node)
+            want = {frozenset(v) for v in places[n].values() if len({known.get(i, i) for i in v}) > 1}
+            assert {frozenset(v) for v in got.values()} == want and len(got) == len(want)
+
+
 def test_one_of_each(docs, rows):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
