@@ -143,17 +143,17 @@ def _allowed(block: np.ndarray, i: int, j: int) -> np.ndarray:
 
 
 def _meet(least: float):
-    """Units of open places: an edge of a spanning forest for every class whose sketch agrees with that of a class of another cluster.
+    """Units of open places: edges of a forest between clusters, for every class whose sketch agrees with that of a class of another one.
 
     The classes of all clusters but the largest are compared with all.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        nodes, blocks, clusters = (t[c].to_numpy() for c in ("node", "block", "cluster"))
+        blocks, clusters = (t[c].to_numpy() for c in ("block", "cluster"))
         blobs = t["sketch"].to_pylist()
         a, b = [], []
         for rows, i, j in _units(t):
-            own, cluster = nodes[rows], clusters[rows]
+            cluster = clusters[rows]
             _, code, count = np.unique(cluster, return_inverse=True, return_counts=True)
             minor = np.flatnonzero(code != count.argmax())
             if not len(minor):
@@ -167,8 +167,8 @@ def _meet(least: float):
             links = (links | links.T) & _allowed(blocks[rows], i, j)
             root = _forest(links)
             moved = root != np.arange(len(root))
-            a.append(own[moved])
-            b.append(own[root[moved]])
+            a.append(cluster[moved])
+            b.append(cluster[root[moved]])
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
     return run
@@ -274,6 +274,17 @@ def open_places(rows: DataFrame, length: int, clusters: DataFrame | None) -> Dat
     return held.join(several, "root")
 
 
+def joined(clusters: DataFrame | None, more: DataFrame) -> DataFrame:
+    """(node, root) after clusters were joined, of the clusters before and (node, root) of those that were joined."""
+    if clusters is None:
+        return materialize(more, "clusters")
+    to = more.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = clusters.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    out = materialize(moved.unionByName(more.join(clusters.select("node"), "node", "left_anti")), "clusters")
+    release(clusters)
+    return out
+
+
 def candidate_clusters(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(node, root) of classes (node, labels, sketch) that the forest joins, prefixes shortened from DEPTH on."""
     shortest = depth(threshold, TRIES, DEPTH, recall)
@@ -286,12 +297,10 @@ def candidate_clusters(classes: DataFrame, threshold: float, recall: float) -> D
             places = held.select("root", "n").distinct()
             dealt = _dealt(held.drop("n"), places, ["root"], F.col("root")).select("node", "cluster", "root", "blocks", "block", "i", "j")
             dealt = _dispatch(dealt, n).join(classes.select("node", "sketch"), "node")
-            edges = dealt.groupBy("unit").applyInArrow(_meet(threshold - SLACK), "a long, b long")
-            if clusters is not None:
-                edges = edges.unionByName(clusters.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            before, clusters = clusters, materialize(components(edges), "clusters")
-            if before is not None:
-                release(before)
+            edges = materialize(dealt.groupBy("unit").applyInArrow(_meet(threshold - SLACK), "a long, b long").distinct(), "edges")
+            if edges.head(1):
+                clusters = joined(clusters, components(edges))
+            release(edges)
         release(held)
     release(rows)
     return clusters if clusters is not None else classes.where(F.lit(False)).select("node", F.col("node").alias("root"))
