@@ -9,7 +9,8 @@ other half the trees, so that learned words are worth on new rows what the trees
 predictions for rows that the trees at hand have not seen. Everything else runs over all documents, without a shuffle of texts.
 
 Defined results: a null or empty text has zero densities and the score of those; without labels of both classes every score is the
-share of label 1 (0 without labels); rows with equal ids are scored alone; other columns are ignored.
+share of label 1 (0 without labels); rows with equal ids are scored alone, and of
+them the least text teaches, once a label; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -267,7 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & (_fold("id") != HELD_OUT_FOLD) & F.col("id").isNotNull())
     sample = sample.withColumn("at", F.xxhash64("id")).orderBy("at", "id", "label").limit(max_rows)
     # Broadcast: at most max_rows rows of three numbers.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text", (F.col("at") % 2 == 0).alias("teaches_words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # One row a label, however many documents have its id: what the driver gathers stays within max_rows.
+    rows = rows.groupBy("id", "label", "at").agg(F.min("text").alias("text")).select("label", "text", (F.col("at") % 2 == 0).alias("teaches_words"))
     rows = materialize(rows, "labelled")
     words, begins = learned_lexicon(rows.where("teaches_words"))
     got = rows.where("not teaches_words").select("label", "text").mapInArrow(_featurize(words, begins), "label int, x array<double>").toArrow()

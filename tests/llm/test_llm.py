@@ -548,6 +548,10 @@ def test_toxicity(spark, empty):
     lab = spark.createDataFrame(labels + [(5000, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs.select("doc_id", "text"), lab)
     assert "blergish" in model.words
+    # Rows that repeat an id don't teach more.
+    few, some = docs.select("doc_id", "text").where("doc_id < 300"), lab.where("toxic is not null")
+    once, often = toxicity.fit(few, some), toxicity.fit(few.union(few).union(few), some.union(some))
+    assert [r.score for r in toxicity.score(few, once).orderBy("doc_id").collect()] == [r.score for r in toxicity.score(few, often).orderBy("doc_id").collect()]
     held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 3 == 1}
     score = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     right = [(score[i] >= 0.7) == bool(t) for i, t in labels if i in held]
