@@ -279,3 +279,23 @@ def test_duplicates_of_scanned_folders(spark, tmp_path):
     (top / "A/one.txt").write_bytes(b"sama!")
     late = {r.path.removeprefix(f"{top}/"): r for r in local.read_digests(seen).collect()}
     assert late["A/one.txt"].unreadable and late["A/one.txt"].content_digest is None and not late["B/one.txt"].unreadable
+
+
+def _joins(df):
+    """The joins of a plan whose estimates are so low that all sides could be broadcast."""
+    before = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "10g")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    """Estimates of written catalogs are too low: what grows with the catalog is merged, whatever they say."""
+    nodes = complete(spark.createDataFrame([("/r/a/x", "file", 3), ("/r/a", "dir", 0), ("/r", "dir", 0)], "path string, kind string, own_size bigint"))
+    rows = tree.with_totals(tree.with_shared_extra(nodes)).withColumn("digest", F.lit("d"))
+    zoned = dupes.zones(rows)
+    found = dupes.members(zoned, 1)
+    for df in (rows, zoned, dupes.folder_digest(zoned), found, dupes.resemblance(found, zoned), dupes.holds(found, zoned)):
+        assert "Broadcast" not in _joins(df)
