@@ -1,5 +1,6 @@
 """Operators on small catalogs, after the cases of FIXTURES.md."""
 
+import hashlib
 import random
 
 import pytest
@@ -299,3 +300,37 @@ def test_sides_that_grow_are_not_broadcast(spark):
     found = dupes.members(zoned, 1)
     for df in (rows, zoned, dupes.folder_digest(zoned), found, dupes.resemblance(found, zoned), dupes.holds(found, zoned)):
         assert "Broadcast" not in _joins(df)
+
+
+def test_contents_end_before_the_first_join(spark, monkeypatch):
+    """What joins of dupe_members move has digests in place of contents."""
+    seen = []
+    real = tree.without_pruned
+    monkeypatch.setattr(api.tree, "without_pruned", lambda nodes, *a: seen.append(nodes.columns) or real(nodes, *a))
+    nodes = complete(spark.createDataFrame([("/r/a/x", b"same"), ("/r/b/y", b"same")], "path string, content binary").withColumn("own_size", F.lit(4)))
+    rows, _ = api.dupe_members(nodes, "/home/me", min_size=1, files_only=True)
+    assert {r.digest for r in rows.collect()} == {hashlib.sha256(b"same").hexdigest()}
+    assert len(seen) == 1 and not {"content", "fork"} & set(seen[0])
+
+
+def test_resemblance_compares_two_folders_once(spark):
+    """Many groups in the same two large folders: rows grow with the entries, not with groups times entries."""
+    rows = [(f"/r/{d}/{d}{i}", f"g{i}") for d in "ab" for i in range(300)] + [(f"/r/{d}/same{k}", f"s{d}{k}") for d in "ab" for k in range(3)]
+    nodes = complete(spark.createDataFrame([(p,) for p, _ in rows], "path string"))
+    nodes = nodes.join(spark.createDataFrame(rows, "path string, digest string"), "path")
+    got = dupes.resemblance(nodes.where("digest like 'g%'"), nodes)
+    assert got.count() == 600
+    most = {}
+
+    def walk(plan):
+        if plan.nodeName().startswith(("SortMergeJoin", "Generate", "BroadcastHashJoin")) and plan.metrics().contains("numOutputRows"):
+            most[plan.nodeName()] = max(most.get(plan.nodeName(), 0), plan.metrics().apply("numOutputRows").value())
+        kids = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else []
+        if "QueryStage" not in plan.nodeName():
+            kids += [plan.children().apply(i) for i in range(plan.children().length())]
+        for k in kids:
+            walk(k)
+
+    got._jdf.collectAsList()
+    walk(got._jdf.queryExecution().executedPlan())
+    assert most and max(most.values()) < 5000
