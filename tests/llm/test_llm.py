@@ -482,6 +482,32 @@ def test_mixing_of_small_sources(spark, monkeypatch):
     assert len(got) == len(sizes) and all(r.n == round(r.t) > 0 for r in got)
 
 
+def test_mix_follows_the_schedule(spark):
+    """A document's slot is where the schedule reaches it: every stretch of slots holds the sources near their shares, and texts are written in this order."""
+    rows = [(1000 * k + i, f"d{1000 * k + i} " + sentence(19), f"s{k}") for k, n in enumerate([400, 300, 500]) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.lit(1))
+    got = mixing.mix(docs).collect()
+    aim = {r.source: r.target for r in got}
+    slots = 1 + max(r.slot for r in got if r.taken)
+    assert all((r.slot is None) == (r.taken == 0) for r in got)
+    passes = {r.source: max(1, r.target / r.source_size) for r in got}
+    for k in range(1, 8):
+        n = collections.Counter()
+        for r in got:
+            # Of a source taken more than once, the first pass ends before the schedule does.
+            if r.taken and r.slot < slots * k / 8:
+                n[r.source] += 20
+        assert all(abs(n[s] - min(aim[s] * k / 8, aim[s] / passes[s])) <= 0.08 * aim[s] for s in aim), (k, n, aim)
+    slot = {r.doc_id: r.slot for r in got}
+    mixed = mixing.mixed_texts(docs)
+    for part in mixed.rdd.glom().collect():
+        seen, order = set(), []
+        for r in part:
+            order.append((r.doc_id in seen, slot[r.doc_id]))
+            seen.add(r.doc_id)
+        assert order == sorted(order)
+
+
 def test_targets():
     assert mixing.targets({"a": 10, "b": 100, None: 100}) == {"a": 20.0, "b": pytest.approx(295 * 2 / 3), None: pytest.approx(295 / 3)}
 
