@@ -623,3 +623,25 @@ def test_pipeline(spark, tmp_path):
     total = sum(len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in seen["mixing"])
     assert sum(r.length for r in seen["packing"]) == total
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_line_dedup_leaves_out_no_link(spark):
+    """One run of four words in common is enough, wherever it lies, and so is a pair that only its SimHash would tell apart."""
+    random_ = random.Random(5)
+    word = lambda: "".join(random_.choices("abcdefghijklmnop", k=9))
+    pairs = []
+    for k in range(60):
+        a = [word() for _ in range(24)]
+        b = list(a)
+        for at in (4, 9, 14, 19):
+            b[at] = word()
+        pairs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    plain = [(n, t, len(t.split(" "))) for n, t in pairs]
+    keys = collections.defaultdict(set)
+    for r in line_dedup.keys_of(spark.createDataFrame(plain, "node long, form string, n_words int")).collect():
+        keys[r.node].add(r.place)
+    assert all(len(keys[n]) == 21 and len(keys[n] & keys[n ^ 1]) >= 5 - 1 for n, _ in pairs)
+    far = spark.createDataFrame([(1, 1, 0, 10), (1, 2, -1, 20)], "place long, node long, simhash long, root long").withColumn("n_words", F.lit(24))
+    forms = spark.createDataFrame(plain[:2], "n long, form string, n_words int").select((F.col("n") + 1).alias("node"), "n_words", "form")
+    told = forms.select("node", *line_dedup.coded(F.col("form"))).drop("c1").join(line_dedup.simhashes(forms).select("node", *line_dedup.PARITY), "node")
+    assert [tuple(r) for r in line_dedup.other_pairs(far, told).collect()] == [(2, 1)]
