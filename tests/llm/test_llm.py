@@ -645,3 +645,42 @@ def test_line_dedup_leaves_out_no_link(spark):
     forms = spark.createDataFrame(plain[:2], "n long, form string, n_words int").select((F.col("n") + 1).alias("node"), "n_words", "form")
     told = forms.select("node", *line_dedup.coded(F.col("form"))).drop("c1").join(line_dedup.simhashes(forms).select("node", *line_dedup.PARITY), "node")
     assert [tuple(r) for r in line_dedup.other_pairs(far, told).collect()] == [(2, 1)]
+
+
+def test_line_dedup_keys_are_few_and_shared(spark, monkeypatch):
+    """Similar lines share a key whatever words repeat; no table written has a row for each run that lines have in common."""
+    rnd = random.Random(9)
+    pairs = []
+    for k in range(400):
+        vocab = [f"u{rnd.randrange(60 if k % 2 else 10**6)}" for _ in range(rnd.choice((2, 5, 30)))]
+        a = [rnd.choice(vocab) for _ in range(rnd.choice((4, 5, 9, 14, 15, 30, 61)))]
+        b = list(a)
+        # As many edits as the longer line allows: words replaced, put in or left out.
+        put = rnd.randrange(len(a) // 4 + 1)
+        for _ in range(put):
+            b.insert(rnd.randrange(len(b) + 1), f"z{rnd.randrange(50)}")
+        for _ in range(len(b) // 5 - put):
+            b[rnd.randrange(len(b))] = f"z{rnd.randrange(50)}"
+        pairs += [(2 * k, " ".join(a), len(a)), (2 * k + 1, " ".join(b), len(b))]
+    forms = spark.createDataFrame(pairs, "node long, form string, n_words int")
+    for common in (bytes(line_dedup.WORD_BUCKETS), line_dedup.common_words(forms), bytes(rnd.randrange(32) for _ in range(line_dedup.WORD_BUCKETS))):
+        places = {r.node: set(r.places) for r in line_dedup.rare_words(forms, common).collect()}
+        assert all(places[2 * k] & places[2 * k + 1] for k in range(400))
+        assert all(len(places[node]) <= n // 5 + 1 for node, _, n in pairs)
+    # Lines of stock phrases: many runs in common, none similar but one.
+    phrases = [" ".join(sentence(4, 9000).split(" ")) for _ in range(60)]
+    lines = [" ".join(rnd.sample(phrases, 10)) for _ in range(200)]
+    near = lines[0].split(" ")
+    near[7] = near[20] = "edit"
+    docs = spark.createDataFrame(list(enumerate([*lines, " ".join(near)])), "doc_id long, text string")
+    written, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, tag: written.append(write(df, tag)) or _counted(written, most))
+    most = []
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs).collect()}
+    assert got[200] == 1 and sum(got.values()) == 1
+    assert max(most) <= 2 * len(docs.collect())
+
+
+def _counted(written, most):
+    most.append(written[-1].count())
+    return written[-1]
