@@ -334,3 +334,24 @@ def test_resemblance_compares_two_folders_once(spark):
     got._jdf.collectAsList()
     walk(got._jdf.queryExecution().executedPlan())
     assert most and max(most.values()) < 5000
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_resemblance_by_names_is_that_of_pairs(spark, seed):
+    """Groups of many folders are compared by names, with the result of all pairs told one by one."""
+    rnd = random.Random(seed)
+    folders = {f"/r/d{i}": rnd.sample([f"n{k}" for k in range(12 if i % 3 else 90)], rnd.choice((1, 2, 4, 5, 6, 7, 8, 9, 11))) for i in range(40)}
+    digests = {f"{f}/{n}": f"g{rnd.randrange(2)}" if n == x[0] or rnd.random() < 0.1 else f"u{f}{n}" for f, x in folders.items() for n in x}
+    nodes = complete(spark.createDataFrame([(p,) for p in digests], "path string")).join(spark.createDataFrame(list(digests.items()), "path string, digest string"), "path")
+    found = nodes.where("digest like 'g%'")
+    want = set()
+    for p, g in digests.items():
+        fa, name = p.rsplit("/", 1)
+        for fb in {q.rsplit("/", 1)[0] for q, h in digests.items() if h == g} - {fa} if g[0] == "g" else ():
+            first = min(n for n in folders[fb] if digests[f"{fb}/{n}"] == g)
+            shared = len((set(folders[fa]) - {name}) & (set(folders[fb]) - {first}))
+            if shared >= 3 or (shared and shared * 10 >= 3 * (min(len(folders[fa]), len(folders[fb])) - 1)):
+                want.add(p)
+    for by_pairs in (1, 512):
+        assert {r.path for r in dupes.resemblance(found, nodes, by_pairs=by_pairs).collect()} == want
+    assert 0 < len(want) < found.count()

@@ -49,3 +49,14 @@ def test_samples_of_all_texts(spark, duck, tmp_path):
     for name, rows in want.items():
         assert sorted(map(tuple, C.QUERIES[name](spark, str(tmp_path)).collect())) == rows == sorted(con.sql(C.ORACLES[name]).fetchall())
     assert want["sample_survivors_all"] == [(2,), (3,), (4,), (5,), (6,)]
+
+
+def test_keep_rank_of_a_copy_in_many_folders(spark, tmp_path):
+    """A text in more than 512 folders: query and oracle agree, and one copy ranks first."""
+    rows = [(i, "same text", f"l{i % 2}", f"s{i // 2}") for i in range(1200)] + [(2000 + i, f"text {i}", "l0", f"s{i}") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, C.QUERIES["keep_rank"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(C.ORACLES["keep_rank"]).fetchall())
+    assert sorted(r for _, r in got) == list(range(1, 1201))
