@@ -355,3 +355,16 @@ def test_resemblance_by_names_is_that_of_pairs(spark, seed):
     for by_pairs in (1, 512):
         assert {r.path for r in dupes.resemblance(found, nodes, by_pairs=by_pairs).collect()} == want
     assert 0 < len(want) < found.count()
+
+
+def test_folders_that_differ_in_a_folder_do_not_line_up(spark):
+    """Lockstep covers folders and links: one more empty folder in a copy is a mismatch, and its group falls back to plain totals."""
+    cols = "path string, kind string, digest string, own_size bigint, own_alloc bigint, clone_id bigint"
+    made = [("/t/A", "dir", "d", 0, 0, 1), ("/t/B", "dir", "d", 0, 0, 2), ("/t/C", "dir", "e", 0, 0, 3), ("/t/D", "dir", "e", 0, 0, 4), ("/t/B/more", "dir", None, 0, 0, 5)]
+    made += [(f"/t/{d}/f", "file", None, 10, 4096, 9) for d in "ABCD"]
+    rows = spark.createDataFrame(made, cols)
+    nodes = complete(rows.drop("digest")).join(rows.select("path", "digest"), "path").withColumn("total_alloc", F.lit(4096).cast("bigint"))
+    found = nodes.where("digest is not null").withColumn("selected", F.col("path").isin("/t/B", "/t/D"))
+    got = {(r.digest, r.member, r.rel, r.aligned) for r in dupes.aligned_files(found, nodes).collect()}
+    assert got == {("d", "/t/A", "f", False), ("d", "/t/B", "f", False), ("e", "/t/C", "f", True), ("e", "/t/D", "f", True)}
+    assert {(r.digest, r.freed, r.shared) for r in dupes.reclaim(found, nodes).collect()} == {("d", 4096, 0), ("e", 0, 4096)}

@@ -60,3 +60,12 @@ def test_keep_rank_of_a_copy_in_many_folders(spark, tmp_path):
     got = sorted(map(tuple, C.QUERIES["keep_rank"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.sql(C.ORACLES["keep_rank"]).fetchall())
     assert sorted(r for _, r in got) == list(range(1, 1201))
+
+
+def test_aligned_files_of_folders(spark, duck):
+    """Folders are walked in lockstep, too: query and oracle agree on groups of both kinds."""
+    got = C.QUERIES["aligned_files_all"](spark, SF)
+    want = duck.sql(C.ORACLES["aligned_files_all"])
+    rows = [tuple(r) for r in got.collect()]
+    assert rows_of(got.columns, rows) == rows_of(want.columns, want.fetchall())
+    assert {r[0] for r in rows} == {"dir", "file"}
