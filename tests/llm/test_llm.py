@@ -684,3 +684,25 @@ def test_line_dedup_keys_are_few_and_shared(spark, monkeypatch):
 def _counted(written, most):
     most.append(written[-1].count())
     return written[-1]
+
+
+def test_line_dedup_meets_other_lengths_only_where_they_can_be_similar(spark):
+    """A place after words of its own is no meeting with much longer lines, and every similar pair meets in its first common place."""
+    zero = [F.lit(0).cast("long").alias(p) for p in line_dedup.PARITY]
+    for at, want in ((0, [(2, 1)]), (2, [])):
+        rows = spark.createDataFrame([(1, 1, 10, 10, at), (1, 2, 12, 20, 0)], "place long, node long, n_words int, root long, at int").select("*", *zero)
+        assert [tuple(r) for r in line_dedup.other_pairs(rows).collect()] == want
+    rnd = random.Random(4)
+    lines = []
+    for k in range(200):
+        a = [f"u{rnd.randrange(10**6 if k % 2 else 40)}" for _ in range(rnd.choice((4, 5, 9, 14, 15, 30, 61)))]
+        b, put = list(a), rnd.randrange(len(a) // 4 + 1)
+        for _ in range(put):
+            b.insert(rnd.randrange(len(b) + 1), f"z{rnd.randrange(50)}")
+        for _ in range(len(b) // 5 - put):
+            b[rnd.randrange(len(b))] = f"z{rnd.randrange(50)}"
+        lines += [(2 * k, " ".join(a), len(a)), (2 * k + 1, " ".join(b), len(b))]
+    forms = spark.createDataFrame(lines, "node long, form string, n_words int")
+    keys = line_dedup.rare_words(forms, line_dedup.common_words(forms)).join(line_dedup.simhashes(forms), "node").withColumn("root", F.col("node"))
+    got = {tuple(r) for r in line_dedup.other_pairs(keys.select("*", F.posexplode("places").alias("at", "place"))).collect()}
+    assert got >= {(2 * k + 1, 2 * k) for k in range(200)}
